@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash
+from tessera.llm import bpe, quality, simhash
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
+    "op2_quality_rules": quality.query,
+    "op4_bpe": bpe.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
