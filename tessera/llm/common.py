@@ -80,19 +80,20 @@ def unit(*cols: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-#: Rows of one bucket of ranked(); only this many rows of a group meet in a task, on average.
-RANK_ROWS = 2000
+#: Rows of one bucket of ranked() in groups of up to its square; the square root of the group beyond.
+RANK_ROWS = 400
 
 
 def ranked(df: DataFrame, keys: list[str], size: str, by: str, ties: list[str], rank: str) -> DataFrame:
     """Gapless rank from 0 of each row in its group by (by, ties), without a group in one task.
 
     keys: the group; size: column with the group's row count; by: column uniform in [0, 1).
-    A group is cut by value of `by` into buckets of about RANK_ROWS rows; a bucket's first rank is
-    the running count of the buckets before it, and a row's rank inside is its row_number.
+    A group is cut by value of `by` into buckets, as many as rows in a bucket where it is large; a
+    bucket's first rank is the running count of the buckets before it, and a row's rank inside is
+    its row_number.
     """
     (b,) = fresh(df, "_bucket")
-    cut = df.withColumn(b, F.floor(F.col(by) * F.ceil(F.col(size) / RANK_ROWS)).cast("long"))
+    cut = df.withColumn(b, F.floor(F.col(by) * F.ceil(F.col(size) / F.greatest(F.lit(float(RANK_ROWS)), F.sqrt(size)))).cast("long"))
     counts = cut.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(b).alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, quality, simhash
+from tessera.llm import bpe, mixing, quality, sharding, simhash, topk, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
     "op2_quality_rules": quality.query,
+    "op3_topk_search": topk.query,
     "op4_bpe": bpe.query,
+    "op5_mixing": mixing.query,
+    "op7_url_filter": urls.query,
+    "op9_sharding": sharding.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE_SQL,
+    "op3_topk_search": topk.ORACLE_SQL,
+    "op7_url_filter": urls.ORACLE_SQL,
 }
