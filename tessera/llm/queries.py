@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, mixing, quality, sharding, simhash, topk, urls
+from tessera.llm import bpe, html, mixing, quality, sharding, simhash, topk, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.query,
     "op7_url_filter": urls.query,
     "op9_sharding": sharding.query,
+    "op10_html_text": html.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE_SQL,
