@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, prepare, table
+from tessera.llm.common import extended, fresh, prepare, table
 
 #: Fixed value: the published split of byte-level BPE before its merges.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
@@ -305,8 +305,7 @@ def _append(df: DataFrame, column: str, kind: str, name: str, run) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], got], [*b.schema.names[:-1], out])
 
     fed = df.withColumn(arg, F.col(f"`{column}`").cast(kind))
-    schema = df.schema.add(out, made)
-    return fed.mapInArrow(each, schema)
+    return fed.mapInArrow(each, extended(df.schema, (out, made)))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of every contract: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -101,3 +102,9 @@ def ranked(df: DataFrame, keys: list[str], size: str, by: str, ties: list[str],
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(b) == F.col("_kb")]
     joined = inside.join(counts, on)
     return joined.withColumn(rank, (F.col(rank) + F.col("_first")).cast("long")).drop(b, "_kb", "_first", *[f"_k{i}" for i in range(len(keys))])
+
+
+def extended(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
+    """A copy of the schema with further nullable columns (name, simple type)."""
+    kinds = {"string": T.StringType(), "binary": T.BinaryType(), "long": T.LongType(), "double": T.DoubleType()}
+    return T.StructType([*schema.fields, *(T.StructField(n, kinds[t]) for n, t in fields)])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, prepare, table
+from tessera.llm.common import extended, fresh, prepare, table
 
 #: Fixed values of HTML: elements without content, elements that start a line, containers.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -160,7 +160,7 @@ def extract(pages: DataFrame, html: str = "html", sigma: float = SIGMA) -> DataF
 
     rest = pages.drop(html)
     fed = pages.withColumn(arg, F.col(f"`{html}`").cast("string")).drop(html)
-    return fed.mapInArrow(run, rest.schema.add(out, "string"))
+    return fed.mapInArrow(run, extended(rest.schema, (out, "string")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

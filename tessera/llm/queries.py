@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, html, mixing, quality, sharding, simhash, topk, urls
+from tessera.llm import bpe, html, mixing, quality, sharding, simhash, suffixes, topk, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_topk_search": topk.query,
     "op4_bpe": bpe.query,
     "op5_mixing": mixing.query,
+    "op6_suffix_dedup": suffixes.query,
     "op7_url_filter": urls.query,
     "op9_sharding": sharding.query,
     "op10_html_text": html.query,
