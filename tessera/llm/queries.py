@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, html, mixing, quality, sharding, simhash, suffixes, topk, urls
+from tessera.llm import bpe, html, mixing, quality, sharding, simhash, suffixes, topk, toxicity, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.query,
     "op6_suffix_dedup": suffixes.query,
     "op7_url_filter": urls.query,
+    "op8_toxicity": toxicity.query,
     "op9_sharding": sharding.query,
     "op10_html_text": html.query,
 }
