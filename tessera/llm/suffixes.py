@@ -225,10 +225,10 @@ def removed_spans(spans: list[dict] | None, length: int) -> list[tuple[int, int]
     return out
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BUCKET) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BUCKET, readable: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (long) and kept (binary): each text without repeated strings.
 
-    The columns' names take a suffix where docs has them already. Texts are whole UTF-8 bytes, null as
+    readable: kept is a string, and a character that a cut goes through goes as well. The columns' names take a suffix where docs has them already. Texts are whole UTF-8 bytes, null as
     empty; strings are judged on the input. Texts under `length` bytes keep all. Equal texts of at
     least `length` bytes lose all, rows that repeat a doc_id included. An empty table gives no rows.
     """
@@ -251,9 +251,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BUCKE
                 edges = [0, *(x for s in c for x in s), len(t)]
                 kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if c else t)
             sizes = [[len(t) for t in raw], [len(t) - len(k) for t, k in zip(raw, kept, strict=True)], list(map(len, cuts))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(s, pa.int64()) for s in sizes), pa.array(kept, pa.binary())], [*b.schema.names[:-2], *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(s, pa.int64()) for s in sizes), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if readable else pa.array(kept, pa.binary())], [*b.schema.names[:-2], *names])
 
-    return both.mapInArrow(run, extended(docs.schema, *((n, "long") for n in names[:3]), (names[3], "binary")))
+    return both.mapInArrow(run, extended(docs.schema, *((n, "long") for n in names[:3]), (names[3], "string" if readable else "binary")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
