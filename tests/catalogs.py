@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -9,6 +11,8 @@ import pyarrow.parquet as pq
 from tessera.functions import properties
 from tessera.functions.layout import Partition
 
+#: The driver's smallest tables.
+DATA = Path("/root/testdata/sf0.001")
 PARTS = {Partition(4, 119): 10, Partition(5, 1239): 7, Partition(6, 15000): 5}
 SIDE, LENGTH = 100, 40
 PROPERTIES = {"obs_collection": "test_legacysurvey_desi", "dataproduct_type": "object", "hats_nrows": 22, "hats_order": 6, "hats_skymap_order": 8, "hats_estsize": 1}

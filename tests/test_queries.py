@@ -6,7 +6,7 @@ import math
 
 import duckdb
 import pytest
-from conftest import DATA
+from catalogs import DATA
 
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 
