@@ -48,7 +48,9 @@ def fit(lengths: Sequence[int], counts: Sequence[int], budget: int, exact: int =
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return counts
-    taken = [c * budget // total for c in counts]
+    # A few of the longest texts' words are left to the programme, or it could not meet the budget.
+    share = max(0, budget - min(exact, 4 * max(lengths)))
+    taken = [c * share // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         if left > exact and 0 < lengths[i] <= left:

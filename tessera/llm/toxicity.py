@@ -238,9 +238,9 @@ class Network:
             self.p[name][1:, 0] = np.clip(z[chosen] / 10, -2, 2)
 
     def fit(self, texts: list[list[str]], labels: np.ndarray, seed: int = SEED) -> Network:
-        """Fit to texts (as words) and labels of 0 and 1; without both labels all scores are alike, low or high."""
+        """Fit to texts (as words) and labels of 0 and 1; without both labels nothing tells texts apart and all scores are low."""
         if not len(texts) or labels.min() == labels.max():
-            self.level = -4.0 if len(texts) and labels[0] else 4.0
+            self.level = 4.0
             self.p["ow"][:] = 0
             return self
         rng = np.random.default_rng(seed)
