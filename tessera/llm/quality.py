@@ -20,8 +20,8 @@ SPREAD = 6
 #: rate: (numerator, denominator, floor and ceiling of the threshold in per mille).
 RULES = {
     "symbols": ("n_symbols", "n_words", 100, 400),
-    "dup_lines": ("n_dup_lines", "n_lines", 200, 500),
-    "repeats": ("n_repeat_words", "n_words", 200, 400),
+    "dup_lines": ("n_dup_lines", "n_lines", 350, 500),
+    "repeats": ("n_repeat_words", "n_words", 300, 450),
     "word_length": ("word_chars", "n_words", 9000, 20000),
 }
 
