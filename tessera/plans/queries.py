@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -286,8 +287,7 @@ def detect_specs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _made(spark: SparkSession, sf: str):
     """A small catalog of vectors, written and tokenized in a folder that tasks and driver share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    base = tempfile.mkdtemp(dir=base.removeprefix("file://"), prefix="catalog-") if "://" not in base.removeprefix("file://") else tempfile.mkdtemp(prefix="tessera-")
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tessera-')}/catalog-{uuid.uuid4().hex}"
     rows = _spectra(spark, sf).withColumns({"ebv": F.lit(0.05), "_order": F.lit(5), "_pixel": F.col("vec_id") % 4, "_row": F.col("vec_id"), ERROR: F.lit(None).cast("string")})
     sink.write_partitions(rows, f"{base}/source_desi").collect()
     sink.finalize(f"{base}/source_desi")
