@@ -14,6 +14,9 @@ from tessera.sources.catalog import open_catalog
 from tessera.sources.sink import VERSION, finalize
 
 
+UNUSED = ("device", "cache-dir", "num-prefetch")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera", description="Catalogs of images, spectra and scalars to catalogs of tokens")
     p.add_argument("--version", action="version", version=f"tessera {VERSION}")
@@ -31,6 +34,9 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--fetch-mode", choices=FETCH_MODES, default="auto")
     t.add_argument("--fail-fast", action="store_true")
     t.add_argument("--token-dtype", choices=["int64", "int32"], default="int64")
+    for name in UNUSED:
+        t.add_argument(f"--{name}", help="accepted without effect: Spark places, stages and fetches by itself")
+    t.add_argument("--no-progress", action="store_true", help="accepted without effect")
     either = t.add_mutually_exclusive_group()
     either.add_argument("--finalize", dest="finalize", action="store_true", default=None)
     either.add_argument("--no-finalize", dest="finalize", action="store_false")
@@ -59,6 +65,8 @@ def main(argv: Sequence[str] | None = None) -> int:
         print("".join(f"{f.name}: {f.dataType.simpleString()[:100]}\n" for f in c.schema.fields), end="")
         print("".join(f"{s}\n" for s in plan.detect(c.schema, c.name, c.band_labels)), end="")
         return 0
+    for name in (*UNUSED, "no-progress"):
+        a.pop(name.replace("-", "_"))
     summary = tokenize_catalog(spark, a.pop("source"), a.pop("output"), a.pop("modalities") or "auto", **a)
     print(summary)
     return 0 if summary.ok else 1

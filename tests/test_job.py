@@ -42,7 +42,7 @@ def test_whole_catalog(spark, source, tmp_path):
     summary = tokenize_catalog(spark, source, out, ["image", "flux_g", "spectrum=DESISpectrum"], row_group_size=4, batch_size=3)
     assert summary.ok and summary.rows == 22 and len(summary.done) == 3 and summary.finalized
     made = open_catalog(spark, out)
-    assert made.schema.names == ["_healpix_29", "ebv", "flux_g", "z_spec", "object_id", "tok_image", "tok_flux_g", "tok_spectrum_desi"]
+    assert made.schema.names == ["_healpix_29", "object_id", "ebv", "flux_g", "z_spec", "tok_image", "tok_flux_g", "tok_spectrum_desi"]
     rows = made.read(keys=True).collect()
     assert sum(r.tok_image is not None for r in rows) == 19 and sum(r.tok_flux_g is not None for r in rows) == 19
     assert {len(r.tok_spectrum_desi.token) for r in rows} == {273}
@@ -117,7 +117,7 @@ def test_finalize_refuses_mixed_schemas(spark, tmp_path):
 
 def test_command_line(spark, source, tmp_path, capsys):
     assert main(["inspect", str(source)]) == 0 and "image -> LegacySurveyImage" in capsys.readouterr().out
-    assert main(["tokenize", str(source), str(tmp_path / "o"), "-m", "ebv", "--no-finalize"]) == 0
+    assert main(["tokenize", str(source), str(tmp_path / "o"), "-m", "ebv", "--no-finalize", "--num-prefetch", "2", "--no-progress"]) == 0
     assert not (tmp_path / "o/partition_info.csv").exists()
     assert main(["finalize", str(tmp_path / "o")]) == 0 and (tmp_path / "o/partition_info.csv").exists()
 
