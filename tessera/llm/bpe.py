@@ -29,7 +29,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Whi
 _PLAIN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 _OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 #: A worker forgets its known words beyond this many words or bytes of text; only speed depends on it.
-KNOWN_WORDS, KNOWN_BYTES = 300_000, 24 << 20
+KNOWN_WORDS, KNOWN_BYTES = 800_000, 32 << 20
 #: Longer words are merged by themselves.
 LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +48,42 @@ def words_of(text: str) -> list[str]:
     return (PATTERN if _OTHER.search(text) else _PLAIN).findall(text)
 
 
+class _Table:
+    """Whole numbers by 64-bit key for vectorised lookup: open addressing, at most a quarter full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, absent: int):
+        self.shift = np.uint64(62 - max(4, len(keys).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.full(size, absent, np.int64), np.zeros(size, bool)
+        self.mask, self.absent = size - 1, absent
+        keys, at = keys.astype(np.uint64), self.slot(keys.astype(np.uint64))
+        left = np.arange(len(keys))
+        while len(left):
+            # Of the keys at one free slot the first takes it; the others go on.
+            free = left[~self.used[at[left]]]
+            took = free[np.unique(at[free], return_index=True)[1]]
+            self.used[at[took]], self.keys[at[took]], self.values[at[took]] = True, keys[took], values[took]
+            left = np.setdiff1d(left, took, assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slot(keys)
+        same, used = self.keys[at] == keys, self.used[at]
+        out = np.where(same & used, self.values[at], self.absent)
+        more = np.flatnonzero(used & ~same)
+        at = at[more]
+        while len(more):
+            at = (at + 1) & self.mask
+            same, used = self.keys[at] == keys[more], self.used[at]
+            out[more[same & used]] = self.values[at[same & used]]
+            go = used & ~same
+            more, at = more[go], at[go]
+        return out
+
+
 class ByteBpe:
     """A vocabulary in the tokenizers library's JSON form (byte level, no normalizer, no prefix space)."""
 
@@ -73,35 +109,23 @@ class ByteBpe:
             self.merge[x, y] = (r, made)
             self.rank[made], self.first[made], self.last[made] = r, x, y
         self.made = np.array([m for _, m in self.merge.values()], np.int64)
-        keys = np.array([x << 32 | y for x, y in self.merge], np.int64)
-        order = np.argsort(keys)
-        self.pair_key, self.pair_rank = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        self.prefixes = self._prefix_tables(vocab, raw)
-        self.checked, self.checked_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pairs = _Table(np.array([x << 32 | y for x, y in self.merge], np.uint64), np.arange(len(self.merge)), int(_NEVER))
+        self.prefixes, self.longest = self._prefix_table(vocab, raw)
         self.known: dict[str, bytes] = {}
         self.known_bytes = 0
 
     @staticmethod
-    def _prefix_tables(vocab: dict[str, int], raw: dict[str, bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By length: sorted hashes of all prefixes of tokens, and the token that is the prefix or -1."""
-        by_length: list[dict[int, int]] = []
+    def _prefix_table(vocab: dict[str, int], raw: dict[str, bytes]) -> tuple[_Table, int]:
+        """Hashes of all prefixes of tokens with the token that is the prefix or -1 (no prefix: -2), and the longest."""
+        found: dict[int, int] = {}
         base, mask = int(_BASE), (1 << 64) - 1
         for t, i in vocab.items():
             h = 0
-            for k, c in enumerate(raw[t]):
+            for c in raw[t]:
                 h = (h * base + c + 1) & mask
-                if k == len(by_length):
-                    by_length.append({})
-                if k + 1 == len(raw[t]):
-                    by_length[k][h] = i
-                else:
-                    by_length[k].setdefault(h, -1)
-        out = []
-        for found in by_length:
-            h = np.array(list(found), np.uint64)
-            order = np.argsort(h)
-            out.append((h[order], np.array(list(found.values()), np.int64)[order]))
-        return out
+                found.setdefault(h, -1)
+            found[h] = i
+        return _Table(np.array(list(found), np.uint64), np.array(list(found.values()), np.int64), -2), max(map(len, raw.values()))
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the bytes of a then b, in rank order, leaves the border between them.
@@ -126,22 +150,9 @@ class ByteBpe:
         return ok
 
     def _pairs_ok(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """compatible() of each adjacent pair, worked out once for equal ones."""
         keys, back = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
-        if not len(keys):
-            return np.zeros(0, bool)
-        i = np.searchsorted(self.checked, keys)
-        seen = np.zeros(len(keys), bool)
-        if len(self.checked):
-            seen = self.checked[np.minimum(i, len(self.checked) - 1)] == keys
-        new = keys[~seen]
-        if len(new):
-            if len(self.checked) > 1_000_000:
-                self.checked, self.checked_ok, new = self.checked[:0], self.checked_ok[:0], keys
-            ok = self.compatible(new >> 32, new & 0xFFFFFFFF)
-            every, oks = np.concatenate([self.checked, new]), np.concatenate([self.checked_ok, ok])
-            order = np.argsort(every, kind="stable")
-            self.checked, self.checked_ok = every[order], oks[order]
-        return self.checked_ok[np.searchsorted(self.checked, keys)][back]
+        return self.compatible(keys >> 32, keys & 0xFFFFFFFF)[back]
 
     def merge_exactly(self, word: bytes) -> list[int]:
         """Merge in rank order, leftmost first on ties."""
@@ -173,15 +184,15 @@ class ByteBpe:
         end = np.repeat(np.cumsum(sizes), sizes)
         token, size = np.full(len(text), -1, np.int64), np.ones(len(text), np.int64)
         at, h = np.arange(len(text)), np.zeros(len(text), np.uint64)
-        for k, (hashes, ids) in enumerate(self.prefixes):
+        for k in range(self.longest):
             more = at + k < end[at]
             at, h = at[more], h[more]
             if not len(at):
                 break
             h = h * _BASE + text[at + k]
-            i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[i] == h
-            at, h, got = at[hit], h[hit], ids[i[hit]]
+            got = self.prefixes.get(h)
+            hit = got > -2
+            at, h, got = at[hit], h[hit], got[hit]
             full = got >= 0
             token[at[full]], size[at[full]] = got[full], k + 1
         begins = np.zeros(len(text), bool)
@@ -256,9 +267,7 @@ class ByteBpe:
         return [packed[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
 
     def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        key = x << 32 | y
-        i = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        return np.where(self.pair_key[i] == key, self.pair_rank[i], _NEVER)
+        return self.pairs.get((x << 32 | y).view(np.uint64).ravel()).reshape(x.shape)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each whole text; a special token's string becomes its id."""
@@ -283,9 +292,8 @@ class ByteBpe:
 _LOADED: dict[str, ByteBpe] = {}
 
 
-def load(source: bytes) -> ByteBpe:
-    """The vocabulary, built once in each process."""
-    key = hashlib.sha256(source).hexdigest()
+def load(source: bytes, key: str) -> ByteBpe:
+    """The vocabulary of this key, built once in each process."""
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = ByteBpe(source)
@@ -308,6 +316,12 @@ def _append(df: DataFrame, column: str, kind: str, name: str, run) -> DataFrame:
     return fed.mapInArrow(each, extended(df.schema, (out, made)))
 
 
+def _read(vocabulary: str) -> tuple[bytes, str]:
+    with open(vocabulary, "rb") as f:
+        source = f.read()
+    return source, hashlib.sha256(source).hexdigest()
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """docs with `ids`: the whole text's token ids as little-endian uint32 in a binary.
 
@@ -315,16 +329,19 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
     Null and empty texts have no ids. Rows, ties and other columns pass through; where docs already
     has a column `ids`, the new one is `ids_1`.
     """
-    with open(vocabulary, "rb") as f:
-        source = f.read()
-    return _append(docs, text, "string", "ids", lambda texts: load(source).encode(texts))
+    source, key = _read(vocabulary)
+    return _append(docs, text, "string", "ids", lambda texts: load(source, key).encode(texts))
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """docs with `decoded`: the text of packed ids (null: empty), special tokens included."""
-    with open(vocabulary, "rb") as f:
-        source = f.read()
-    return _append(docs, ids, "binary", "decoded", lambda packed: [load(source).decode(p or b"") for p in packed])
+    source, key = _read(vocabulary)
+
+    def run(packed: list[bytes | None]) -> list[str]:
+        decode = load(source, key).decode
+        return [decode(p or b"") for p in packed]
+
+    return _append(docs, ids, "binary", "decoded", run)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
