@@ -29,7 +29,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Whi
 _PLAIN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 _OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 #: A worker forgets its known words beyond this many words or bytes of text; only speed depends on it.
-KNOWN_WORDS, KNOWN_BYTES = 800_000, 32 << 20
+KNOWN_WORDS, KNOWN_BYTES = 500_000, 32 << 20
 #: Longer words are merged by themselves.
 LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
