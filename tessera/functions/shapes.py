@@ -18,9 +18,11 @@ def as_float(x: Column) -> Column:
 
 
 def finite(x: Column) -> Column:
-    """Whether a value is neither null, NaN nor infinite in single precision; never null itself."""
-    f = as_float(x)
-    return F.coalesce(~F.isnan(f) & (F.abs(f) < INFINITY), F.lit(False))
+    """Whether a value is neither null, NaN nor infinite in single precision; never null itself.
+
+    NaN is larger than any number in Spark, so one comparison tells.
+    """
+    return F.coalesce(F.abs(as_float(x)) < INFINITY, F.lit(False))
 
 
 def _sizes(x: Column) -> Column:
@@ -57,7 +59,7 @@ def flat(x: Column, ndim: int) -> Column:
 
 def zero_unless_finite(values: Column) -> Column:
     """Values in single precision, anything not finite as zero (images)."""
-    return F.transform(values, lambda v: F.when(finite(v), as_float(v)).otherwise(F.lit(0.0).cast("float")))
+    return F.transform(values, lambda v: F.when(F.abs(as_float(v)) < INFINITY, as_float(v)).otherwise(F.lit(0.0).cast("float")))
 
 
 def spectrum_mask(flux: Column, ivar: Column, mask: Column | None = None, mask_is_bool: bool = True) -> Column:

@@ -66,7 +66,7 @@ class HashQuantizer:
 
         def clean(v: Column) -> Column:
             f = shapes.as_float(v).cast("double")
-            known = F.when(shapes.finite(v), f)
+            known = F.when(F.abs(f) < shapes.INFINITY, f)
             if kind == "spectrum":
                 known = known.when(f == shapes.INFINITY, F.lit(shapes.FLOAT_MAX)).when(f == -shapes.INFINITY, F.lit(-shapes.FLOAT_MAX))
             return known.otherwise(F.lit(0.0))
