@@ -28,7 +28,7 @@ REGION = frozenset("article main section div td body".split())
 #: Elements, roles and words of class or id that mark what isn't the article.
 ASIDE = frozenset("head title style script noscript template nav footer aside form button select option textarea iframe object svg canvas menu dialog audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
-WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer comment comments disqus reply replies respond related recommended share sharing social pagination pager toolbar widget skip copyright disclaimer hidden".split())
+WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner banners cookie cookies consent gdpr notice notices alert popup popups modal overlay newsletter subscribe subscription signup login sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer footers comment comments commentlist disqus reply replies respond related recommended share sharing social pagination pager toolbar widget skip copyright disclaimer hidden".split())
 #: Words that say the same of a whole id or class only.
 ALONE = frozenset("header site-header page-header header-main main-header".split())
 SIGMA = 1.0
