@@ -146,8 +146,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BU
     found = materialize(long.select("key", F.inline(F.arrays_zip("h", "r", "a", "b"))).join(shared, "h"))
     # By run: how often, and one that stands for it; by bucket: how many different runs.
     same = found.groupBy("h", "r").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a")).alias("one"))
-    kinds = found.select("h", "r").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-    judged = materialize(found.join(same, ["h", "r"]).join(kinds, "h"))
+    kinds = same.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+    judged = materialize(found.join(same.join(kinds, "h"), ["h", "r"]))
     whole = judged.filter("n > 1").select("key", "a", "b")
     meet = judged.filter((F.col("m") > 1) & ((F.col("n") == 1) | (F.struct("key", "a") == F.col("one"))))
     lists = meet.groupBy("key").agg(F.collect_list(F.struct("h", "m", "a", "b", (F.col("n") > 1).alias("known"))).alias("runs"))
