@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import extended, fresh, prepare, table
+from tessera.llm.common import extended, fresh, letting_go, prepare, table
 
 #: Fixed value: the published split of byte-level BPE before its merges.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
@@ -28,7 +28,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Whi
 #: digits, controls that only Python counts as white space); the standard engine is the faster one.
 _PLAIN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 _OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
-#: A worker forgets its known words beyond this many words or bytes of text; only speed depends on it.
+#: A task forgets its known words beyond this many words or bytes of text; only speed depends on it.
 KNOWN_WORDS, KNOWN_BYTES = 500_000, 32 << 20
 #: Longer words are merged by themselves.
 LONG = 64
@@ -92,12 +92,8 @@ class ByteBpe:
         vocab, symbols = spec["model"]["vocab"], _byte_symbols()
         raw = {t: bytes(symbols[c] for c in t) for t in vocab}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        n = max([*vocab.values(), *self.specials.values()]) + 1
-        self.bytes = [b""] * n
-        for t, i in vocab.items():
-            self.bytes[i] = raw[t]
-        for t, i in self.specials.items():
-            self.bytes[i] = t.encode()
+        self.bytes = token_bytes(source)
+        n = len(self.bytes)
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.of_byte = [vocab[c] for c, _ in sorted(symbols.items(), key=lambda x: x[1])]
         #: rank: when a token is made (-1: a byte); first, last: its two halves.
@@ -286,18 +282,34 @@ class ByteBpe:
 
     def decode(self, packed: bytes) -> str:
         """Text of little-endian uint32 ids, special tokens included."""
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+        return decode(self.bytes, packed)
+
+
+def token_bytes(source: bytes) -> list[bytes]:
+    """The bytes of each token, special ones included; all that decoding needs."""
+    spec, symbols = json.loads(source), _byte_symbols()
+    found = {i: bytes(symbols[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
+def decode(tokens: list[bytes], packed: bytes) -> str:
+    """Text of little-endian uint32 ids."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+
+
+#: What a task has made of a vocabulary, until its end.
+_LOADED: dict[tuple, ByteBpe | list[bytes]] = {}
 
 
-_LOADED: dict[str, ByteBpe] = {}
+def unload() -> None:
+    _LOADED.clear()
 
 
-def load(source: bytes, key: str) -> ByteBpe:
-    """The vocabulary of this key, built once in each process."""
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ByteBpe(source)
-    return _LOADED[key]
+def load(make, source: bytes, key: str):
+    """make(source), once in each task."""
+    if (make, key) not in _LOADED:
+        _LOADED[make, key] = make(source)
+    return _LOADED[make, key]
 
 
 def _append(df: DataFrame, column: str, kind: str, name: str, run) -> DataFrame:
@@ -313,7 +325,7 @@ def _append(df: DataFrame, column: str, kind: str, name: str, run) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], got], [*b.schema.names[:-1], out])
 
     fed = df.withColumn(arg, F.col(f"`{column}`").cast(kind))
-    return fed.mapInArrow(each, extended(df.schema, (out, made)))
+    return fed.mapInArrow(lambda batches: letting_go(each(batches), unload), extended(df.schema, (out, made)))
 
 
 def _read(vocabulary: str) -> tuple[bytes, str]:
@@ -330,7 +342,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
     has a column `ids`, the new one is `ids_1`.
     """
     source, key = _read(vocabulary)
-    return _append(docs, text, "string", "ids", lambda texts: load(source, key).encode(texts))
+    return _append(docs, text, "string", "ids", lambda texts: load(ByteBpe, source, key).encode(texts))
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -338,8 +350,8 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids") -> Data
     source, key = _read(vocabulary)
 
     def run(packed: list[bytes | None]) -> list[str]:
-        decode = load(source, key).decode
-        return [decode(p or b"") for p in packed]
+        tokens = load(token_bytes, source, key)
+        return [decode(tokens, p or b"") for p in packed]
 
     return _append(docs, ids, "binary", "decoded", run)
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +69,22 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+def letting_go(batches: Iterable[pa.RecordBatch], forget: Callable[[], None] = lambda: None) -> Iterator[pa.RecordBatch]:
+    """The batches; at a task's end its caches are forgotten and memory goes back to the system.
+
+    Spark keeps Python workers for later tasks, beside those of other operators.
+    """
+    try:
+        yield from batches
+    finally:
+        forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that clash with none of df's, whatever their case."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, materialize, prepare, table
+from tessera.llm.common import fresh, letting_go, materialize, prepare, table
 
 SEED = 42
 WORDS = 3
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lambda batches: letting_go(run(batches)), f"doc_id {kind}, fp bigint")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:

@@ -27,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, extended, fresh, materialize, prepare, table
+from tessera.llm.common import discard, extended, fresh, letting_go, materialize, prepare, table
 
 LENGTH = 200
 Q = 64
 #: Different runs of a bucket that meet in one task.
 BUCKET = 4096
 #: Windows of a text looked at together, and bytes of runs refined together: memory only.
-PIECE, BATCH = 1 << 20, 2 << 20
+PIECE, BATCH = 1 << 18, 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 _BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
 _U = np.uint64
@@ -141,7 +141,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BU
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([g[i] for g in got]).astype(t))) for i, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "h", "r", "a", "b"])
 
-    long = docs.filter(F.octet_length("text") >= length).mapInArrow(cut, f"key {kind}, h array<bigint>, r array<bigint>, a array<int>, b array<int>")
+    long = docs.filter(F.octet_length("text") >= length).mapInArrow(lambda batches: letting_go(cut(batches)), f"key {kind}, h array<bigint>, r array<bigint>, a array<int>, b array<int>")
     shared = materialize(long.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     found = materialize(long.select("key", F.inline(F.arrays_zip("h", "r", "a", "b"))).join(shared, "h"))
     # By run: how often, and one that stands for it; by bucket: how many different runs.
@@ -160,7 +160,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BU
                     data = [[x["h"] for x in part], [x["m"] for x in part], [x["a"] for x in part], [x["known"] for x in part], [text[x["a"] : x["b"] + length] for x in part]]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).take(pa.array([0] * len(part))), *map(pa.array, data, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["key", "h", "m", "a", "known", "text"])
 
-    sent = docs.join(lists, "key").select("key", "text", "runs").mapInArrow(texts, f"key {kind}, h bigint, m bigint, a int, known boolean, text binary")
+    sent = docs.join(lists, "key").select("key", "text", "runs").mapInArrow(lambda batches: letting_go(texts(batches)), f"key {kind}, h bigint, m bigint, a int, known boolean, text binary")
     parts = F.ceil(F.col("m") / bucket)
     sent = sent.withColumn("s", F.pmod(F.xxhash64("key", "a"), parts)).withColumn("many", parts > 1)
 
@@ -203,7 +203,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BU
 
     # Columns: 0 key, 1 h, 2 s, 3 a, 4 known, 5 many, 6 text.
     dealt = sent.repartition("h", "s").sortWithinPartitions("h", "s").select("key", "h", "s", "a", "known", "many", "text")
-    refined = materialize(dealt.mapInArrow(sort, f"key {kind}, a int, b int, h bigint, w bigint"))
+    refined = materialize(dealt.mapInArrow(lambda batches: letting_go(sort(batches), _powers.cache_clear), f"key {kind}, a int, b int, h bigint, w bigint"))
     spans = whole.unionByName(refined.filter("w is null").select("key", "a", "b"))
     open_ = refined.filter("w is not null")
     if not open_.isEmpty():
@@ -253,7 +253,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BUCKE
             sizes = [[len(t) for t in raw], [len(t) - len(k) for t, k in zip(raw, kept, strict=True)], list(map(len, cuts))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(s, pa.int64()) for s in sizes), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if readable else pa.array(kept, pa.binary())], [*b.schema.names[:-2], *names])
 
-    return both.mapInArrow(run, extended(docs.schema, *((n, "long") for n in names[:3]), (names[3], "string" if readable else "binary")))
+    return both.mapInArrow(lambda batches: letting_go(run(batches)), extended(docs.schema, *((n, "long") for n in names[:3]), (names[3], "string" if readable else "binary")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

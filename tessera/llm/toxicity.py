@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import extended, fresh, prepare, table
+from tessera.llm.common import extended, fresh, letting_go, prepare, table
 
 WINDOW, STRIDE = 40, 32
 HIDDEN, EMBED, ATTEND = 8, 8, 8
@@ -34,7 +34,7 @@ LEAST_Z, LEAST_TEXTS = 4.0, 4
 GRAM_WEIGHT = 0.3
 ROUNDS, STEPS, BATCH = 6, 30, 128
 SEED = 3
-#: A worker forgets its known words beyond this many; only speed depends on it.
+#: A task forgets its known words beyond this many; only speed depends on it.
 KNOWN_WORDS = 300_000
 #: Windows scored together: memory only.
 TOGETHER = 2048
@@ -361,9 +361,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
     return Network(seed).fit([words_of(r["text"]) for r in found], np.array([r["toxic"] for r in found], int), seed)
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """docs with `score` (0 to 1; `score_1` where docs has one) of every whole text.
 
@@ -372,17 +369,14 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     """
     prepare(docs.sparkSession)
     arg, out = fresh(docs, "_text", "score")
-    key = network.p["ow"].tobytes() + np.float64(network.level).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(network)
+        scorer = Scorer(network)
         for b in batches:
-            scores = _SCORERS[key].score(b.column(b.num_columns - 1).to_pylist()) if b.num_rows else np.zeros(0)
+            scores = scorer.score(b.column(b.num_columns - 1).to_pylist()) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*b.schema.names[:-1], out])
 
-    return docs.withColumn(arg, F.col("text").cast("string")).mapInArrow(run, extended(docs.schema, (out, "double")))
+    return docs.withColumn(arg, F.col("text").cast("string")).mapInArrow(lambda batches: letting_go(run(batches)), extended(docs.schema, (out, "double")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
