@@ -115,6 +115,8 @@ def ranked(df: DataFrame, keys: list[str], size: str, by: str, ties: list[str],
     """
     (b,) = fresh(df, "_bucket")
     cut = df.withColumn(b, F.floor(F.col(by) * F.ceil(F.col(size) / F.greatest(F.lit(float(RANK_ROWS)), F.sqrt(size)))).cast("long"))
+    # Dealt anew by bucket: rows that come dealt by group would otherwise be ranked where they are, a hot group in one task.
+    cut = cut.repartition(*keys, b)
     counts = cut.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(b).alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
