@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, simhash, suffixes, toxicity
+from tessera.llm import bpe, mixing, shingles, suffixes, toxicity
 from tessera.llm.common import fresh, materialize, table
 
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class of near copies."""
-    return simhash.near_dedup(docs)
+    """The document of the smallest doc_id of each class of near copies: 5-word shingles, similarity 0.8 and more."""
+    return shingles.near_dedup(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
