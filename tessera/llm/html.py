@@ -2,9 +2,11 @@
 
 The standard library's parser feeds events to a reader that cuts the page into lines, one for each
 block, with their characters and tags. Lines under menus, adverts, forms and the like are marked by
-element, role, class or id. The text-to-tag ratios of all lines are smoothed by a Gaussian; a region
-(an article or main element, else the nearest container) is content where a smoothed ratio reaches
-the standard deviation of the page's ratios. All unmarked lines of content regions are the text.
+element, role, class or id. The text-to-tag ratios of all lines are smoothed by a Gaussian; a line is
+content where its smoothed ratio reaches the standard deviation of the page's ratios. Content in
+article or main elements goes before other content. The text is all unmarked lines from the start of
+the first to the end of the last container (article or main element, else the nearest one) of content,
+with the headings right before it.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from tessera.llm.common import extended, fresh, prepare, table
 #: Fixed values of HTML: elements without content, elements that start a line, containers.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGION = frozenset("article main section div td body".split())
 #: Elements, roles and words of class or id that mark what isn't the article.
 ASIDE = frozenset("head title style script noscript template nav footer aside form button select option textarea iframe object svg canvas menu dialog audio video map".split())
@@ -42,12 +45,13 @@ class _Reader(HTMLParser):
         self.region, self.article, self.marked, self.regions = 0, -1, False, 1
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, region, article, marked
+        self.heading = False
+        self.lines: list[tuple[str, int, int, int, bool, bool]] = []  # text, tags, region, article, marked, heading
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.region, self.article, self.marked))
+            self.lines.append((text, self.tags, self.region, self.article, self.marked, self.heading))
             self.tags = 0
         self.parts = []
 
@@ -66,6 +70,7 @@ class _Reader(HTMLParser):
         block = tag in BLOCK
         if block:
             self.end_line()
+            self.heading = tag in HEADING
             if tag != "p" or any(s[0] == "p" for s in self.stack[-3:]):
                 self.close_paragraph()
         self.tags += 1
@@ -102,6 +107,7 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_line()
+            self.heading = False
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
@@ -129,19 +135,25 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     reader.close()
     reader.end_line()
     lines = reader.lines
-    # Where an article or main element holds text, it alone is looked at, whole; else each container is.
-    inside = any(line[3] >= 0 and not line[4] for line in lines)
-    group = [(line[3] if inside else line[2]) if not line[4] else -1 for line in lines]
-    if not any(g >= 0 for g in group):
+    open_ = [i for i, line in enumerate(lines) if not line[4]]
+    if not open_:
         return ""
     ratios = np.array([len(line[0]) / max(1, line[1]) for line in lines])
     scores = smooth(ratios, sigma)
-    best: dict[int, float] = {}
-    for g, s in zip(group, scores, strict=True):
-        if g >= 0:
-            best[g] = max(best.get(g, 0.0), float(s))
-    least = min(float(ratios.std()), max(best.values()))
-    return "\n".join(line[0] for line, g in zip(lines, group, strict=True) if g >= 0 and best[g] >= least)
+    least = min(float(ratios.std()), max(float(scores[i]) for i in open_))
+    content = [i for i in open_ if scores[i] >= least]
+    inside = [i for i in content if lines[i][3] >= 0]
+    if inside:  # what stands between two articles is none of theirs
+        whole = {lines[i][3] for i in inside}
+        open_ = [i for i in open_ if lines[i][3] >= 0]
+        held = [i for i in open_ if lines[i][3] in whole]
+    else:
+        whole = {lines[i][2] for i in content}
+        held = [i for i in open_ if lines[i][2] in whole]
+    first = open_.index(held[0])
+    while first and lines[open_[first - 1]][5]:
+        first -= 1
+    return "\n".join(lines[i][0] for i in open_[first:] if i <= held[-1])
 
 
 def extract(pages: DataFrame, html: str = "html", sigma: float = SIGMA) -> DataFrame:

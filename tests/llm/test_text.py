@@ -130,6 +130,24 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "A long paragraph of the article, with enough words in it to be far above the ratio of the others. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # Short containers before and between content are not lost.
+        (f"<body><div><h1>Title</h1></div><div><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{LONG}</p></div></body>", f"Title\n{LONG.strip()}\nShort.\n{LONG.strip()}"),
+        # A teaser in an article does not hide the content around it.
+        (f"<body><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><a>1</a></div><div><a>2</a></div><div><a>3</a></div><div><a>4</a></div><article><b><i><a>Go</a></i></b></article></body>", "\n".join([LONG.strip()] * 3)),
+        # Nor does a short article between long ones go.
+        (f"<article><p>{LONG}</p></article><p>x</p><article><p>Short.</p></article><article><p>{LONG}</p><p>{LONG}</p></article>", f"{LONG.strip()}\nShort.\n{LONG.strip()}\n{LONG.strip()}"),
+    ],
+)
+def test_main_text_by_ratios(page, text):
+    assert html.main_text(page) == text
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, PAGE, "t"), (1, PAGE, "t"), (None, None, None)], "page_id long, html string, text string")
     got = html.extract(df).collect()
