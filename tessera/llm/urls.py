@@ -26,7 +26,7 @@ LIST = (
 )
 #: The query's fetch day: pages have no time of their own, so page_id deals them over these days.
 FIRST_DAY, DAYS = "2024-01-01", 730
-#: Most path parts of a key.
+#: Most path parts of a key in the query's SQL; judge() takes the list's own depth.
 PARTS = 3
 
 
@@ -51,13 +51,16 @@ def keys_of(url: Column, parts: int = PARTS) -> Column:
     return F.when(clean != "", F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(tails, lambda t: F.concat(h, t))))))
 
 
-def judge(captures: DataFrame, entries: DataFrame, parts: int = PARTS) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, parts: int | None = None) -> DataFrame:
     """(capture_id, blocked, n_hits, reasons) of every capture (capture_id, url, fetched).
 
     A key matches where valid_from <= fetched < valid_to (open where null). Null, empty and malformed
     URLs and captures without a fetch day match nothing; captures that repeat an id are judged
-    together; an empty list blocks nothing; other columns are ignored.
+    together; an empty list blocks nothing; other columns are ignored. Captures ask for as many path
+    parts as the list's deepest key has, or for `parts`.
     """
+    if parts is None:
+        parts = entries.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     asked = captures.select("capture_id", "fetched", F.explode_outer(keys_of(F.col("url"), parts)).alias("key"))
     on = (asked["key"] == F.col("k.key")) & (asked["fetched"] >= F.col("k.valid_from")) & (F.col("k.valid_to").isNull() | (asked["fetched"] < F.col("k.valid_to")))
     hit = asked.join(intervals(entries).alias("k"), on, "left")

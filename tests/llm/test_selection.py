@@ -110,3 +110,12 @@ def test_urls(spark):
     no = (False, 0, "")
     assert got == {1: (True, 1, "x"), 2: (True, 2, "x,y"), 3: no, 4: no, 5: no, 6: no, 7: no, 8: no, 9: (True, 2, "y")}
     assert not urls.judge(df, listed.limit(0)).filter("blocked").count() and urls.judge(df.limit(0), listed).count() == 0
+
+
+def test_urls_of_deep_keys(spark):
+    """A key of any number of path parts is found, and those below it are not."""
+    entries = spark.sql("SELECT * FROM VALUES ('example.com/a/b/c/d', date '2024-01-01', 'add', 'deep'), ('b.org', date '2024-01-01', 'add', 'flat') AS t(key, day, action, reason)")
+    pages = ["http://example.com/a/b/c/d", "http://www.example.com/A/b/c/d/e/f?x", "http://example.com/a/b/c", "http://example.com/a/b/c/de", "http://b.org/1/2/3/4/5/6"]
+    df = spark.createDataFrame([(i, u, datetime.date(2024, 5, 1)) for i, u in enumerate(pages)], "capture_id long, url string, fetched date")
+    got = {r.capture_id: r.reasons for r in urls.judge(df, entries).collect()}
+    assert got == {0: "deep", 1: "deep", 2: "", 3: "", 4: "flat"}
