@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, letting_go, materialize, prepare
-from tessera.llm.simhash import components
+from tessera.llm.common import letting_go, materialize, prepare
+from tessera.llm.simhash import components, one_of_each, text_hash
 
 SEED = 42
 WORDS = 5
@@ -64,10 +64,6 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", text_hash().alias("t"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lambda batches: letting_go(run(batches)), f"doc_id {kind}, t bigint, sig bigint, n bigint, keys array<bigint>")
 
 
-def text_hash() -> Column:
-    return F.xxhash64(F.col("text").cast("string"))
-
-
 def forest(found: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links (x, centre) joining each connected class of the sets at the similarity, one per non-centre."""
     size = np.array([len(s) for s in found])
@@ -140,21 +136,6 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bucket:
     return every.select("doc_id", "t", "sig").join(found, "sig", "left").select("doc_id", "t", F.coalesce("root", "sig").alias("class"))
 
 
-def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The row of docs with the smallest doc_id of each class, ties and null ids by the text's hash; columns as they were.
-
-    found: (doc_id, t, class) of every row. Only members of one class replace each other; rows that
-    repeat doc_id and text are copies, whatever their other columns.
-    """
-    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t")).alias("row"))
-    key, t, mine = fresh(docs, "_id", "_t", "_hash")
-    best = materialize(best.select(F.col("row.doc_id").alias(key), F.col("row.t").alias(t)))
-    rows = docs.withColumn(mine, text_hash())
-    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(t)), "left_semi")
-    again = found.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return (kept if again.isEmpty() else kept.dropDuplicates(["doc_id", mine])).drop(mine)
-
-
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """docs without near copies, by classes() and one_of_each()."""
     return one_of_each(docs, materialize(classes(docs, **options)))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, letting_go, materialize, prepare, table
@@ -181,17 +181,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
     return every.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs without near copies: the row of the smallest doc_id of each class stays, columns as they were.
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of docs with the smallest doc_id of each class, ties and null ids by the text's hash; columns as they were.
 
-    Rows that repeat one doc_id count as copies of each other and one of them stays.
+    found: (doc_id, t, class) of every row. Only members of one class replace each other; rows that
+    repeat doc_id and text are copies, whatever their other columns.
     """
-    found = near_duplicates(docs, **options)
-    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    (key,) = fresh(docs, "_id")
-    ids = materialize(ids.filter("doc_id <=> c").select(F.col("doc_id").alias(key), "n"))
-    kept = docs.join(ids.select(key), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
-    return kept if ids.filter("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t")).alias("row"))
+    key, t, mine = fresh(docs, "_id", "_t", "_hash")
+    best = materialize(best.select(F.col("row.doc_id").alias(key), F.col("row.t").alias(t)))
+    rows = docs.withColumn(mine, text_hash())
+    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(t)), "left_semi")
+    again = found.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return (kept if again.isEmpty() else kept.dropDuplicates(["doc_id", mine])).drop(mine)
+
+
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """docs without near copies, by near_duplicates() over rows and one_of_each()."""
+    row = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), text_hash().alias("t"))
+    found = materialize(near_duplicates(docs.select(row.alias("doc_id"), "text"), **options))
+    return one_of_each(docs, found.select(F.col("doc_id.i").alias("doc_id"), F.col("doc_id.t").alias("t"), F.col("component_id").alias("class")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

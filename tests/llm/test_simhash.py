@@ -70,3 +70,11 @@ def test_odd_documents(spark, odd, empty):
     kept = simhash.near_dedup(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
+
+
+def test_rows_of_odd_ids(spark):
+    """Only members of one class replace each other, whatever their ids."""
+    rows = [(None, "first text without an id"), (None, "second words that name no id"), (4, "the text of a document"), (None, "the text of a document"), (5, "one text under five"), (5, "some other words under five"), (5, "one text under five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, simhash.near_dedup(docs).collect()), key=str)
+    assert got == sorted({rows[i] for i in (0, 1, 2, 4, 5)}, key=str)
