@@ -18,12 +18,12 @@ from tessera.llm.common import materialize, table
 K = 5
 SCALE = 256
 QUERY_BLOCK, CANDIDATE_BLOCK = 256, 2048
-#: Components from here on take no part, as a score might not fit a long.
-TOO_LARGE = float(1 << 20)
+#: Components from here on take no part, as they times SCALE do not fit a long.
+TOO_LARGE = float(1 << 55)
 
 
 def quantized(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component; null where the vector or a component is null, not finite or huge."""
+    """floor(scale * x) of every component; null where the vector or a component is null, not finite or beyond a long."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < TOO_LARGE))
     return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
@@ -45,14 +45,25 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
     for t in range(vectors.shape[1]):
         at = np.flatnonzero(vectors[:, t])
         postings.append((slice(None), vectors[:, t].copy()) if len(at) == len(ids) else (at, vectors[at, t]))
+    # Norms bound every score and partial sum; where these might not fit a long, whole numbers of any size are added up.
+    norms = np.sqrt((vectors.astype(float) ** 2).sum(axis=1))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for q, row in zip(query_ids, queries, strict=True):
-        scores = np.zeros(len(ids), np.int64)
+        fits = np.ones(len(ids), bool)
+        if np.linalg.norm(row.astype(float)) * norms.max(initial=0) >= float(1 << 62):
+            n = min(len(row), vectors.shape[1])
+            scores = vectors[:, :n].astype(object) @ row[:n].astype(object)
+            fits = np.array([-(1 << 63) <= s < 1 << 63 for s in scores], bool)
+            scores = np.where(fits, scores, 0).astype(np.int64)
+            row = row[:0]
+        else:
+            scores = np.zeros(len(ids), np.int64)
         for t in np.flatnonzero(row[: len(postings)]):
             at, weights = postings[t]
             scores[at] += row[t] * weights
         a, b = np.searchsorted(ids, [q, q + 1])
         others = np.concatenate([np.arange(a), np.arange(b, len(ids))])
+        others = others[fits[others]]
         own = scores[others]
         if len(own) > k:
             least = np.partition(own, len(own) - k)[len(own) - k]

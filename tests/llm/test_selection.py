@@ -40,6 +40,16 @@ def test_topk(spark, blocks):
     assert topk.search(df.limit(0), df).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    """Large finite components take part; only a score beyond a long does not."""
+    big = float(1 << 21)
+    rows = [(0, [big, 1.0]), (1, [1.0, 0.0]), (2, [big, 0.0]), (3, [0.0, 2.0]), (4, [float(1 << 40), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantized(F.col("embedding")).alias("terms"))
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.search(df.filter("vec_id in (0, 4)"), df, 5).orderBy("query_id", "rank").collect()]
+    one = 256 * 256
+    assert got == [(0, 2, one << 42), (0, 1, one << 21), (0, 3, 2 * one), (4, 1, one << 40), (4, 3, 0)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(0, 30), st.integers(1, 5), min_size=1, max_size=7), st.integers(0, 200), st.sampled_from([5, 60, 1 << 16]))
 def test_fit(lengths, budget, exact):
