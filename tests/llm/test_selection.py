@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from catalogs import DATA
@@ -22,7 +23,7 @@ def test_queries_with_sql(spark, name):
     check(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("blocks", [(2, 3), (256, 2048)])
+@pytest.mark.parametrize("blocks", [(2, 3), (8192, 4096)])
 def test_topk(spark, blocks):
     rng = np.random.default_rng(2)
     vectors = {i: rng.integers(-2, 3, 6) / 4 for i in range(40)}
@@ -41,13 +42,34 @@ def test_topk(spark, blocks):
 
 
 def test_topk_of_large_components(spark):
-    """Large finite components take part; only a score beyond a long does not."""
-    big = float(1 << 21)
-    rows = [(0, [big, 1.0]), (1, [1.0, 0.0]), (2, [big, 0.0]), (3, [0.0, 2.0]), (4, [float(1 << 40), 0.0])]
+    """Every finite component takes part; a score beyond a long counts as its limit."""
+    big, top, one = float(1 << 21), (1 << 63) - 1, 256 * 256
+    rows = [(0, [big, 1.0]), (1, [1.0, 0.0]), (2, [big, 0.0]), (3, [0.0, 2.0]), (4, [float(1 << 40), 0.0]), (5, [3e38, 0.0]), (6, [-3e38, 0.0]), (7, [0.0, 3e38])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantized(F.col("embedding")).alias("terms"))
-    got = [(r.query_id, r.vec_id, r.score) for r in topk.search(df.filter("vec_id in (0, 4)"), df, 5).orderBy("query_id", "rank").collect()]
-    one = 256 * 256
-    assert got == [(0, 2, one << 42), (0, 1, one << 21), (0, 3, 2 * one), (4, 1, one << 40), (4, 3, 0)]
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.search(df.filter("vec_id in (0, 3, 6)"), df, 7).orderBy("query_id", "rank").collect()]
+    assert got[:7] == [(0, 4, top), (0, 5, top), (0, 7, top), (0, 2, one << 42), (0, 1, one << 21), (0, 3, 2 * one), (0, 6, -top - 1)]
+    assert got[7:14] == [(3, 7, top), (3, 0, 2 * one), (3, 1, 0), (3, 2, 0), (3, 4, 0), (3, 5, 0), (3, 6, 0)]
+    assert [g[1:] for g in got[14:]] == [(3, 0), (7, 0), (0, -top - 1), (1, -top - 1), (2, -top - 1), (4, -top - 1), (5, -top - 1)]
+
+
+def test_topk_of_components_in_the_millions_against_sql(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.integers(-4_000_000, 4_000_000, 8) * (1.0 if i % 3 else 1e-7)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    vectors = df.select("vec_id", topk.quantized(F.col("embedding")).alias("terms"))
+    con.register("embeddings", df.toArrow())
+    want = con.sql(topk.ORACLE_SQL).fetchall()
+    got = topk.search(vectors.filter("vec_id % 50 = 0"), vectors).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 15
+
+
+def test_topk_of_a_repeated_id(spark):
+    """Rows of one vec_id with other terms are candidates of their own, and queries of their own."""
+    rows = [(0, [1.0]), (0, [2.0]), (1, [1.0]), (1, [3.0]), (1, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, terms array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df.filter("vec_id = 0"), df).collect())
+    assert got == [(0, 1, 1, 3), (0, 1, 1, 6), (0, 2, 1, 1), (0, 2, 1, 2)]
 
 
 @settings(max_examples=200, deadline=None)
