@@ -1,10 +1,11 @@
 """Quality rules with thresholds that follow the corpus, in DataFrame functions alone.
 
-Each text has a few counts and four rates in per mille. A log-linear histogram of every rate, per
+Each text has a few counts and four rates in per cent. A log-linear histogram of every rate, per
 language and source, is a quantile sketch that merges by adding counts: bin edges are fixed, so
-partial sketches of any rows add up to the sketch of all rows, on reruns too. A rate's upper
-threshold is the sketch's third quartile plus SPREAD times the distance between its quartiles,
-within the rule's floor and ceiling; the documents are then joined to their group's thresholds.
+partial sketches of any rows add up to the sketch of all rows, on reruns too. A rule's threshold is
+the group's upper quantile plus a multiple of its distance from the lower one. No threshold is a fixed
+number: quantiles of small groups are drawn towards those of their language's merged sketch. The
+documents are then joined to their group's thresholds.
 """
 
 from __future__ import annotations
@@ -16,27 +17,29 @@ from tessera.llm.common import SPACE, fresh, materialize, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SPREAD = 6
-#: rate: (numerator, denominator, floor and ceiling of the threshold in per mille).
+#: rate: (numerator, denominator, lower and upper quantile in per cent, spread). Symbols and long words are
+#: rare in clean texts, so quartiles, which a quarter of junk doesn't move; repetition is common in a few.
 RULES = {
-    "symbols": ("n_symbols", "n_words", 100, 400),
-    "dup_lines": ("n_dup_lines", "n_lines", 350, 500),
-    "repeats": ("n_repeat_words", "n_words", 300, 450),
-    "word_length": ("word_chars", "n_words", 9000, 20000),
+    "symbols": ("n_symbols", "n_words", 25, 75, 6),
+    "dup_lines": ("n_dup_lines", "n_lines", 50, 99, 2),
+    "repeats": ("n_repeat_words", "n_words", 50, 99, 2),
+    "word_length": ("word_chars", "n_words", 25, 75, 8),
 }
+#: A language's quantiles count as those of so many documents beside a group's own.
+PRIOR = 100
+#: Bins of each power of two; whole numbers below twice as many have a bin of their own.
+BINS = 64
 
 
 def bin_of(value: Column) -> Column:
-    """Bin of a whole number from 0: exact up to 31, then 16 bins for each power of two."""
-    bits = F.length(F.bin(value))
-    shift = F.greatest(bits - 5, F.lit(0))
-    return (shift * 32 + F.call_function("shiftright", value, shift)).cast("long")
+    """Bin of a whole number from 0: exact below 2 * BINS, then BINS bins for each power of two."""
+    shift = F.greatest(F.length(F.bin(value)) - (2 * BINS - 1).bit_length(), F.lit(0))
+    return (shift * (2 * BINS) + F.call_function("shiftright", value, shift)).cast("long")
 
 
 def bin_top(b: Column) -> Column:
     """Largest value of a bin."""
-    shift = (F.floor(b / 32)).cast("int")
-    return F.call_function("shiftleft", b % 32 + 1, shift) - 1
+    return F.call_function("shiftleft", b % (2 * BINS) + 1, F.floor(b / (2 * BINS)).cast("int")) - 1
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -69,50 +72,73 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", covered).drop("p")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def sketches(counted: DataFrame) -> DataFrame:
-    """(lang, source, rule, bin, n): mergeable sketches of all rates; two tables add up by sum of n."""
+    """(lang, source, rule, bin, n): mergeable sketches of all rates of what passes the base; two tables add up by sum of n.
+
+    counted: counts() as written, or planning repeats its expressions many times over.
+    """
     rates = F.array(*[F.struct(F.lit(k).alias("rule"), bin_of(rate(k)).alias("bin")) for k in RULES])
-    return counted.filter("n_words > 0").select("lang", "source", F.explode(rates).alias("r")).groupBy("lang", "source", "r.rule", "r.bin").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(~base_failed()).select("lang", "source", F.explode(rates).alias("r")).groupBy("lang", "source", "r.rule", "r.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rate(rule: str) -> Column:
-    """Per mille, rounded down."""
-    top, below, _, _ = RULES[rule]
-    return F.floor(F.col(top) * 1000 / F.greatest(F.col(below), F.lit(1))).cast("long")
-
-
-def thresholds(sketch: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """One row per (lang, source) with the highest accepted rate of each rule."""
-    group = ["lang", "source", "rule"]
-    sums = sketch.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("bin"))).withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin")))
-    both = sums.groupBy(*group).agg(bin_top(quartile(1)).alias("q1"), bin_top(quartile(3)).alias("q3"))
-    cut = F.coalesce(*[F.when(F.col("rule") == k, F.least(F.greatest(F.col("q3") + spread * (F.col("q3") - F.col("q1")), F.lit(v[2])), F.lit(v[3]))) for k, v in RULES.items()])
+    """Per cent, rounded down."""
+    top, below, *_ = RULES[rule]
+    return F.floor(F.col(top) * 100 / F.greatest(F.col(below), F.lit(1))).cast("long")
+
+
+def _of_rule(values: int) -> Column:
+    return F.coalesce(*[F.when(F.col("rule") == k, F.lit(v[values])) for k, v in RULES.items()])
+
+
+def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
+    """(group, rule, n, low, high): documents and both quantiles of each rule of each group."""
+    of = Window.partitionBy(*group, "rule")
+    sums = sketch.withColumn("upto", F.sum("n").over(of.orderBy("bin"))).withColumn("total", F.sum("n").over(of))
+    least = lambda i: bin_top(F.min(F.when(F.col("upto") * 100 >= F.col("total") * _of_rule(i), F.col("bin"))))
+    return sums.groupBy(*group, "rule").agg(F.max("total").alias("n"), least(2).alias("low"), least(3).alias("high"))
+
+
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row per (lang, source) with the highest accepted rate of each rule.
+
+    The language's quantiles, from its merged sketch, weigh as `prior` documents. The distance of the
+    quantiles counts as one at least, the width of the narrowest bin.
+    """
+    merged = sketch.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))
+    whole = quantiles(merged, ["lang"]).select(F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    own = quantiles(sketch, ["lang", "source"]).join(whole, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule")))
+    drawn = lambda c: F.floor((F.col("n") * F.col(c) + prior * F.col(f"_{c}")) / (F.col("n") + prior)).cast("long")
+    both = own.withColumn("low", drawn("low")).withColumn("high", drawn("high"))
+    cut = F.col("high") + _of_rule(4) * F.greatest(F.col("high") - F.col("low"), F.lit(1))
     return both.withColumn("cut", cut).groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(f"max_{k}") for k in RULES])
 
 
-def judge(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """counts() with each group's thresholds, base_failed and kept.
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows. kept: not
     base_failed and no rate above its threshold. Null, empty and wordless texts fail the base; a null
-    language or source is a group of its own; equal rows are judged alike; an empty table gives no
-    rows; further columns of docs are ignored.
+    language or source is a group of its own; equal rows are judged alike; a group whose texts all
+    fail the base has no thresholds; an empty table gives no rows; further columns of docs are ignored.
     """
     counted = materialize(counts(docs))
-    cuts = thresholds(sketches(counted), spread).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    cuts = thresholds(sketches(counted), prior).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = counted.join(cuts, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     passed = F.lit(True)
     for k in RULES:
         passed = passed & (rate(k) <= F.col(f"max_{k}"))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(passed, F.lit(False)))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(passed, F.lit(False)))
 
 
-def filter_quality(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+def filter_quality(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The rows of docs that judge() keeps, columns as they were; doc_id names a document."""
     (key,) = fresh(docs, "_id")
-    kept = judge(docs, spread).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias(key))
+    kept = judge(docs, prior).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias(key))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
@@ -122,16 +148,27 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     def rate(k: str) -> str:
-        return f"({RULES[k][0]} * 1000 // greatest({RULES[k][1]}, 1))"
+        return f"({RULES[k][0]} * 100 // greatest({RULES[k][1]}, 1))"
 
     def bin_(v: str) -> str:
-        return f"(greatest(length(bin({v})) - 5, 0) * 32 + ({v} >> greatest(length(bin({v})) - 5, 0)::int))::bigint"
+        shift = f"greatest(length(bin({v})) - {(2 * BINS - 1).bit_length()}, 0)"
+        return f"({shift} * {2 * BINS} + ({v} >> {shift}::int))::bigint"
 
     def top(b: str) -> str:
-        return f"((({b}) % 32 + 1) << (({b}) // 32)::int) - 1"
+        return f"((({b}) % {2 * BINS} + 1) << (({b}) // {2 * BINS})::int) - 1"
+
+    def of_rule(i: int) -> str:
+        return "CASE rule " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in RULES.items()) + " END"
+
+    def quantiles(group: str, sketch: str) -> str:
+        w = f"OVER (PARTITION BY {group}, rule"
+        sums = f"SELECT *, sum(n) {w} ORDER BY bin) AS upto, sum(n) {w}) AS total FROM {sketch}"
+        least = lambda i: top(f"min(CASE WHEN upto * 100 >= total * {of_rule(i)} THEN bin END)")
+        return f"SELECT {group}, rule, max(total) AS n, {least(2)} AS low, {least(3)} AS high FROM ({sums}) GROUP BY {group}, rule"
 
-    rules = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {bin_(rate(k))} AS bin FROM c WHERE n_words > 0" for k in RULES)
-    cuts = ", ".join(f"max(CASE WHEN rule = '{k}' THEN least(greatest(q3 + {SPREAD} * (q3 - q1), {v[2]}), {v[3]}) END) AS max_{k}" for k, v in RULES.items())
+    rules = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {bin_(rate(k))} AS bin FROM d WHERE NOT base_failed" for k in RULES)
+    drawn = lambda c: f"((q.n * q.{c} + {PRIOR} * l.{c}) // (q.n + {PRIOR}))::bigint"
+    cuts = ", ".join(f"max(CASE WHEN rule = '{k}' THEN high + {v[4]} * greatest(high - low, 1) END) AS max_{k}" for k, v in RULES.items())
     passed = " AND ".join(f"{rate(k)} <= max_{k}" for k in RULES)
     return rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -144,13 +181,13 @@ c AS (SELECT a.doc_id, lang, source, len(w)::bigint AS n_words, coalesce(list_su
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, len(lines)::bigint AS n_lines,
              (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, coalesce(cov.n, 0)::bigint AS n_repeat_words
       FROM a LEFT JOIN cov ON cov.doc_id = a.doc_id),
+d AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c),
 b AS (SELECT lang, source, rule, bin, count(*) AS n FROM ({rules}) GROUP BY ALL),
-s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM b),
-q AS (SELECT lang, source, rule, min(CASE WHEN upto * 4 >= total THEN bin END) AS b1, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS b3 FROM s GROUP BY ALL),
-v AS (SELECT lang, source, rule, {top('b1')} AS q1, {top('b3')} AS q3 FROM q),
+q AS ({quantiles("lang, source", "b")}),
+l AS ({quantiles("lang", "(SELECT lang, rule, bin, sum(n) AS n FROM b GROUP BY ALL)")}),
+v AS (SELECT q.lang, q.source, q.rule, {drawn("low")} AS low, {drawn("high")} AS high FROM q JOIN l ON l.lang IS NOT DISTINCT FROM q.lang AND l.rule = q.rule),
 x AS (SELECT lang, source, {cuts} FROM v GROUP BY ALL),
-f AS (SELECT c.*, x.* EXCLUDE (lang, source), n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed
-      FROM c LEFT JOIN x ON x.lang IS NOT DISTINCT FROM c.lang AND x.source IS NOT DISTINCT FROM c.source)
+f AS (SELECT d.*, x.* EXCLUDE (lang, source) FROM d LEFT JOIN x ON x.lang IS NOT DISTINCT FROM d.lang AND x.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({passed}, FALSE) AS kept FROM f"""
 
 

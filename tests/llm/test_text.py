@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, html, quality
+from tessera.llm.common import materialize
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -94,20 +95,48 @@ def test_quality_counts_of_odd_documents(odd, empty):
 def test_bins(spark):
     df = spark.range(0, 100_000, 7).select("id", quality.bin_of(F.col("id")).alias("b"))
     rows = df.withColumn("top", quality.bin_top(F.col("b"))).orderBy("id").collect()
-    assert all(r.id <= r.top <= max(31, r.id * 17 / 16) for r in rows)
+    assert all(r.id <= r.top <= max(127, r.id * 65 / 64) for r in rows)
     assert all(a.b <= b.b for a, b in zip(rows, rows[1:], strict=False))
 
 
-def test_thresholds_follow_the_group_within_bounds(spark):
-    rows = [(i, "en", "a", "lo " * 80 + "# " * (i % 3)) for i in range(40)] + [(99, "en", "a", "hi " * 50 + "# " * 50)]
+def sample(start: int, source: str, word: str, dots: int, rows: int = 60) -> list[tuple]:
+    """Texts of different words of one length, with a few symbols in some."""
+    return [(start + i, "en", source, " ".join(f"{word}{i}x{k}" for k in range(100)) + " #" * (i % (dots + 1))) for i in range(rows)]
+
+
+def test_thresholds_follow_the_group(spark):
+    """The same document is kept in one group and goes from another."""
+    long, hashes = " ".join(f"a{'very' * 12}long{k}" for k in range(60)), " ".join(f"word{k}" for k in range(100)) + " #" * 40
+    rows = [*sample(0, "plain", "word", 0), *sample(100, "dense", f"a{'very' * 9}long", 60)]
+    rows += [(900, "en", "plain", long), (901, "en", "dense", long), (902, "en", "plain", hashes), (903, "en", "dense", hashes)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
-    # Repetition would fail all of these, so look at the cut alone.
-    cut = quality.thresholds(quality.sketches(quality.counts(docs))).first()
-    assert quality.RULES["symbols"][2] <= cut.max_symbols <= quality.RULES["symbols"][3]
+    got = {r.doc_id: r for r in quality.judge(docs, prior=5).collect()}
+    assert [got[i].kept for i in (900, 901, 902, 903)] == [False, True, False, True]
+    assert got[900].max_word_length < got[901].max_word_length and got[902].max_symbols < got[903].max_symbols
+    assert all(r.kept for i, r in got.items() if i < 900)
+
+
+def test_thresholds_are_those_of_plain_quantiles(spark):
+    docs = spark.createDataFrame([*sample(0, "a", "word", 3), *sample(100, "b", "w", 9, 13), (200, None, "a", sample(0, "a", "other", 2, 2)[1][3])], "doc_id long, lang string, source string, text string")
+    counted = materialize(quality.counts(docs))
+    got = {(r.lang, r.source): r for r in quality.thresholds(quality.sketches(counted)).collect()}
+    rows = counted.collect()
+    assert len(got) == 3
+    for (lang, source), r in got.items():
+        for rule, (top, below, low, high, spread) in quality.RULES.items():
+            def at(some: list, q: int, top=top, below=below) -> int:
+                v = sorted(x[top] * 100 // max(x[below], 1) for x in some)
+                v = v[max(0, -(-len(v) * q // 100) - 1)]
+                shift = max(v.bit_length() - 7, 0)
+                return ((v >> shift) + 1 << shift) - 1
+
+            own, whole = [x for x in rows if (x.lang, x.source) == (lang, source)], [x for x in rows if x.lang == lang]
+            a, b = ((len(own) * at(own, q) + 100 * at(whole, q)) // (len(own) + 100) for q in (low, high))
+            assert r[f"max_{rule}"] == b + spread * max(b - a, 1)
 
 
 def test_sketches_merge(spark, odd):
-    counted = quality.counts(odd)
+    counted = materialize(quality.counts(odd))
     parts = quality.sketches(counted.filter("doc_id < 4")).union(quality.sketches(counted.filter("not doc_id < 4 or doc_id is null")))
     merged = parts.groupBy("lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
     assert sorted(map(str, merged.collect())) == sorted(map(str, quality.sketches(counted).select(*merged.columns).collect()))
