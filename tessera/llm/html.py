@@ -1,18 +1,20 @@
 """Main text of HTML pages from streaming parser events.
 
 The standard library's parser feeds events to a reader that cuts the page into lines, one for each
-block, with their characters and tags. Lines under menus, adverts, forms and the like are marked by
-element, role, class or id. The text-to-tag ratios of all lines are smoothed by a Gaussian; a line is
-content where its smoothed ratio reaches the standard deviation of the page's ratios. Content in
-article or main elements goes before other content. The text is all unmarked lines from the start of
-the first to the end of the last container (article or main element, else the nearest one) of content,
-with the headings right before it.
+block, with their characters and tags. Characters in links and menus weigh nothing, so a menu's ratio
+is zero whatever its names. The text-to-tag ratios of all lines are smoothed by a Gaussian, and the
+threshold that parts the smoothed ratios into two clusters (least variance within them) chooses the
+content lines. The text is every line from the first to the last container (article or main element,
+else the nearest one) that has a content line, with the headings right before it, less runs of lines of
+links alone that fall into the lower cluster. Lines that the page itself says aren't the article (by
+element, role, or a class or id that says nothing else) are left out.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,81 +25,122 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import extended, fresh, prepare, table
 
-#: Fixed values of HTML: elements without content, elements that start a line, containers.
+#: Fixed values of HTML: elements without content, elements that start a line, containers, what a head holds,
+#: and for elements that end the one before them, whose end they stop at.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-REGION = frozenset("article main section div td body".split())
-#: Elements, roles and words of class or id that mark what isn't the article.
-ASIDE = frozenset("head title style script noscript template nav footer aside form button select option textarea iframe object svg canvas menu dialog audio video map".split())
+REGION = frozenset("article main section div td body nav".split())
+HEAD = frozenset("head title meta link script style base noscript template".split())
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",))}
+#: Elements and roles that aren't the article.
+ASIDE = frozenset("head title style script noscript template footer aside form button select option textarea iframe object svg canvas dialog audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
-WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner banners cookie cookies consent gdpr notice notices alert popup popups modal overlay newsletter subscribe subscription signup login sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer footers comment comments commentlist disqus reply replies respond related recommended share sharing social pagination pager toolbar widget skip copyright disclaimer hidden".split())
-#: Words that say the same of a whole id or class only.
+#: Words of a class or id that mark what isn't the article where the whole of it is made of them and of plain ones.
+WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner banners cookie cookies consent gdpr notice notices alert popup popups modal overlay newsletter subscribe subscription signup login sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer footers comment comments commentlist disqus reply replies respond related recommended share sharing social pagination pager toolbar widget copyright disclaimer".split())
+PLAIN = frozenset("box boxes container wrapper wrap block top bottom left right site page main inner outer area list item items section bar link links button buttons icons form post posts article articles content text header head title body column col row small large big the and".split())
+#: Whole classes that mark outside of articles only, and elements that no class or id marks.
 ALONE = frozenset("header site-header page-header header-main main-header".split())
+OWN = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 SIGMA = 1.0
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: So many lines of links alone are a menu.
+MENU = 3
+_SPLIT = re.compile(r"[^a-z]+")
+
+
+def marks(name: str) -> bool:
+    """Whether a class or id says by all of its words that this isn't the article: `ad-box`, not `ad-hoc`."""
+    parts = [x for x in _SPLIT.split(name) if x]
+    return not WORDS.isdisjoint(parts) and all(x in WORDS or x in PLAIN for x in parts)
 
 
 class _Reader(HTMLParser):
+    """Lines of a page: (text, weight, tags, region, article, marked, heading, menu).
+
+    weight: characters outside of links and menus. Open elements of each name are known by their
+    places, so an end tag costs what it closes, and a stray one nothing.
+    """
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, bool]] = []  # tag, region, article, marked
-        self.region, self.article, self.marked, self.regions = 0, -1, False, 1
+        self.stack: list[tuple] = []  # tag and the state outside of it
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.walls, self.blocks = [-1], [-1]  # places of open regions and of open blocks but paragraphs
+        self.region, self.article, self.marked, self.menu, self.link, self.regions = 0, -1, False, False, False, 1
         self.parts: list[str] = []
+        self.weighty: list[str] = []
         self.tags = 0
-        self.heading = False
-        self.lines: list[tuple[str, int, int, int, bool, bool]] = []  # text, tags, region, article, marked, heading
+        self.heading = self.line_marked = False
+        self.lines: list[tuple[str, int, int, int, int, bool, bool, bool]] = []
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.region, self.article, self.marked, self.heading))
+            weight = len(" ".join("".join(self.weighty).split()))
+            self.lines.append((text, weight, self.tags, self.region, self.article, self.marked, self.heading, self.menu))
             self.tags = 0
-        self.parts = []
+        self.parts, self.weighty = [], []
 
     def is_marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ASIDE or tag == "header" and self.article < 0:
+        if tag in ASIDE or tag in ("nav", "menu") and self.article >= 0 or tag == "header" and self.article < 0:
             return True
         for name, value in attrs:
             if name in ("class", "id") and value:
-                if tag not in ("body", "html", "main") and any(c.lower() in ALONE or not WORDS.isdisjoint(_SPLIT.split(c.lower())) for c in value.split()):
+                if tag not in OWN and any(marks(c) or self.article < 0 and c in ALONE for c in value.lower().split()):
                     return True
             elif name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
         return False
 
+    def leave(self, i: int) -> None:
+        """Close the open elements from place i on."""
+        _, self.region, self.article, self.marked, self.menu, self.link = self.stack[i]
+        for tag, *_ in self.stack[i:]:
+            self.at[tag].pop()
+        del self.stack[i:]
+        for places in (self.walls, self.blocks):
+            while places[-1] >= i:
+                places.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK
+        if tag not in HEAD and self.at["head"]:  # the end of a head may be left out
+            self.end_line()
+            self.leave(self.at["head"][0])
+            self.line_marked = self.marked
         if block:
             self.end_line()
             self.heading = tag in HEADING
-            if tag != "p" or any(s[0] == "p" for s in self.stack[-3:]):
-                self.close_paragraph()
+            if self.last("p") > self.blocks[-1]:
+                self.leave(self.last("p"))
+            if tag in ENDS and self.last(*ENDS[tag][0]) > self.last(*ENDS[tag][1]):
+                self.leave(self.last(*ENDS[tag][0]))
+        elif tag == "a" and self.last("a") > self.walls[-1]:
+            self.leave(self.last("a"))
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self.handle_data(" ")
             return
-        self.stack.append((tag, self.region, self.article, self.marked))
-        if attrs or tag in ASIDE or tag == "header":
+        place = len(self.stack)
+        self.stack.append((tag, self.region, self.article, self.marked, self.menu, self.link))
+        self.at[tag].append(place)
+        if block and tag != "p":
+            self.blocks.append(place)
+        if attrs or tag in ASIDE or tag in ("header", "nav", "menu"):
             self.marked = self.marked or self.is_marked(tag, attrs)
         if tag in REGION:
+            self.walls.append(place)
             self.region, self.regions = self.regions, self.regions + 1
             if self.article < 0 and tag in ("article", "main"):
                 self.article = self.region
-
-    def close_paragraph(self) -> None:
-        """A block ends an open paragraph; only inline elements stand between."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == "p":
-                self.leave(i)
-                return
-            if self.stack[i][0] in BLOCK:
-                return
-
-    def leave(self, i: int) -> None:
-        _, self.region, self.article, self.marked = self.stack[i]
-        del self.stack[i:]
+        self.menu = self.menu or tag in ("nav", "menu")
+        # An anchor with a name but no address is a place, not a link.
+        self.line_marked = self.marked if block else self.line_marked
+        self.link = self.link or tag == "a" and (not attrs or any(name == "href" for name, _ in attrs))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -105,19 +148,25 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK:
+        block = tag in BLOCK
+        if block:
             self.end_line()
             self.heading = False
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.leave(i)
-                return
-            if self.stack[i][0] in REGION and tag not in REGION and tag not in BLOCK:
-                return  # a stray inline end tag closes nothing around it
+        # A stray inline end tag closes nothing around it.
+        if self.at[tag] and (block or self.at[tag][-1] > self.walls[-1]):
+            self.leave(self.at[tag][-1])
+        self.line_marked = self.marked if block else self.line_marked
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and not data.isspace():
+            self.leave(self.at["head"][0])
+            self.line_marked = self.marked
+        if self.marked and not self.line_marked:  # a script within a line
+            return
         self.parts.append(data)
+        if not (self.link or self.menu):
+            self.weighty.append(data)
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -128,32 +177,59 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[r : r + len(ratios)] / weight
 
 
+def parting(scores: np.ndarray) -> float:
+    """The least score of the upper of two clusters: those of the least variance within them, by the scores' logarithms."""
+    values = np.sort(scores)
+    x = np.log1p(values)
+    n, total = np.arange(1, len(x)), x.cumsum()
+    if not len(n) or x[-1] - x[0] < 1e-9:
+        return float(values[0])
+    low, high = total[:-1] / n, (total[-1] - total[:-1]) / (len(x) - n)
+    return float(values[int(np.argmax(n * (len(x) - n) * (high - low) ** 2)) + 1])
+
+
+def choose(lines: list[tuple], sigma: float = SIGMA) -> list[int]:
+    """Places of the lines that are the main text."""
+    shown = [i for i, line in enumerate(lines) if not line[5]]
+    weight = np.array([0 if line[5] else line[1] for line in lines])
+    if not weight.any():  # a page of links alone
+        weight = np.array([0 if line[5] or line[7] else len(line[0]) for line in lines])
+    heavy = np.flatnonzero(weight)
+    if not len(heavy):
+        return []
+    scores = smooth(weight / np.array([max(1, line[2]) for line in lines]), sigma)
+    least = parting(scores[heavy])
+    content = heavy[scores[heavy] >= least]
+    inside = [i for i in content if lines[i][4] >= 0]
+    key = 3
+    if 2 * sum(weight[i] for i in inside) >= weight[content].sum():  # what stands between articles is none of theirs
+        shown, content, key = [i for i in shown if lines[i][4] >= 0], inside, 4
+    whole = {lines[i][key] for i in content}
+    held = [k for k, i in enumerate(shown) if lines[i][key] in whole]
+    first, last = held[0], held[-1]
+    while first and lines[shown[first - 1]][6]:
+        first -= 1
+    picked = [i for i in shown[first : last + 1] if not lines[i][7] or lines[i][3] in whole]
+    # Runs of lines of links alone in the lower cluster are menus, wherever they stand.
+    out, k = [], 0
+    while k < len(picked):
+        end = k
+        while end < len(picked) and not weight[picked[end]]:
+            end += 1
+        run = picked[k:end]
+        out += run if len(run) < MENU or min(scores[i] for i in run) >= least else []
+        out += picked[end : end + 1]
+        k = end + 1
+    return out
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The page's main text, a line for each block; empty for null, empty and contentless pages."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader.end_line()
-    lines = reader.lines
-    open_ = [i for i, line in enumerate(lines) if not line[4]]
-    if not open_:
-        return ""
-    ratios = np.array([len(line[0]) / max(1, line[1]) for line in lines])
-    scores = smooth(ratios, sigma)
-    least = min(float(ratios.std()), max(float(scores[i]) for i in open_))
-    content = [i for i in open_ if scores[i] >= least]
-    inside = [i for i in content if lines[i][3] >= 0]
-    if inside:  # what stands between two articles is none of theirs
-        whole = {lines[i][3] for i in inside}
-        open_ = [i for i in open_ if lines[i][3] >= 0]
-        held = [i for i in open_ if lines[i][3] in whole]
-    else:
-        whole = {lines[i][2] for i in content}
-        held = [i for i in open_ if lines[i][2] in whole]
-    first = open_.index(held[0])
-    while first and lines[open_[first - 1]][5]:
-        first -= 1
-    return "\n".join(lines[i][0] for i in open_[first:] if i <= held[-1])
+    return "\n".join(reader.lines[i][0] for i in choose(reader.lines, sigma))
 
 
 def extract(pages: DataFrame, html: str = "html", sigma: float = SIGMA) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -177,6 +178,57 @@ def test_main_text_by_ratios(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # A head without an end tag, before an element and before plain text.
+        (f"<head><title>x</title><body><article><p>{LONG}</p></article>", LONG.strip()), ("<head><title>x</title>plain text", "plain text"),
+        # Class words that say something else, or stand on the article itself.
+        (f"<article class='share-price'><p id='skip'>{LONG}</p><div class='ad-hoc'>Some text.</div><div class='ad-box'>Buy!</div></article>", f"{LONG.strip()}\nSome text."),
+        # A menu without a name, of links alone, and one inside of an article.
+        (f"<div><a href=1>One</a></div><div><a href=2>Two</a></div><div><a href=3>Three</a></div><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ul><p>Short.</p><p><a href=5>A link between</a></p><p>{LONG}</p></article>", f"{LONG.strip()}\nShort.\nA link between\n{LONG.strip()}"),
+        (f"<main><nav><p>Contents</p></nav><p>{LONG}</p></main>", LONG.strip()),
+        # A marked item ends with the next one.
+        (f"<article><p>{LONG}</p><ul><li class=advert>Buy!<li>kept</ul></article>", f"{LONG.strip()}\nkept"),
+        (f"<article><p>{LONG}<script>var x = 1</script> and <span class=share>Share this</span> more</p></article>", f"{LONG.strip()} and more"),
+        ("<p><a href=1>only a link</a></p>", "only a link"), ("<nav><a href=1>only a menu</a></nav>", ""),
+        ("<div>" * 3000 + "deep" + "</span>" * 3000, "deep"),
+    ],
+)
+def test_main_text_of_odd_pages(page, text):
+    assert html.main_text(page) == text
+
+
+def test_stray_and_open_tags_cost_little():
+    began = time.process_time()
+    for page in ("<b>" * 20_000 + "</i>" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<div>" + "<i>" * 20_000 + "<hr>" * 20_000):
+        html.main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_parting_has_the_least_variance():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        scores = rng.gamma(1, 30, int(rng.integers(2, 30)))
+        x = np.log1p(scores)
+        within = lambda c, x=x, scores=scores: sum(len(p) * p.var() for p in (x[scores < c], x[scores >= c]) if len(p))
+        assert within(html.parting(scores)) == pytest.approx(min(within(c) for c in np.sort(scores)[1:]))
+
+
+SENTENCES = st.lists(st.sampled_from(["The harbour was quiet before dawn, and nobody had come down to the boats.", "Prices fell again, said the board, though less than in the years before.", "He wrote three letters that winter and sent none of them to anyone at all."]), min_size=2, max_size=6).map(" ".join)
+ASIDES = ["<nav><a href=1>Home</a> <a href=2>News</a></nav>", "<div class='cookie-notice'>We use cookies for what we do.</div>", "<div class=ad><p>Buy now and pay later, if at all.</p></div>", "<aside>More of this kind</aside>", "<ul><li><a href=1>A</a><li><a href=2>B</a><li><a href=3>C</a></ul>", "<form>Your mail <input><button>Go</button></form>", "<script>var x = '<p>text</p>'</script>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(SENTENCES, min_size=2, max_size=6), st.lists(st.sampled_from(ASIDES), max_size=4), st.lists(st.sampled_from(ASIDES), max_size=4), st.sampled_from(["article", "main", "div", "section"]))
+def test_made_pages(paragraphs, before, after, element):
+    """Pages made of known parts: what comes out is the paragraphs, whatever stands around them."""
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = f"<html><head><title>t</title></head><body><header>Site</header>{''.join(before)}<{element}><h1>Title</h1>{body}</{element}>{''.join(after)}<div class=comments><p>Nice!</p></div><footer>End</footer></body></html>"
+    assert html.main_text(page) == "\n".join(["Title", *paragraphs])
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, PAGE, "t"), (1, PAGE, "t"), (None, None, None)], "page_id long, html string, text string")
     got = html.extract(df).collect()
