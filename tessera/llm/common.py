@@ -26,18 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches; both settings are read when a query runs."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bound the session's Arrow batches, where they aren't smaller already; both settings are read when a query runs."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(name).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
+_OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; an own one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The shared folder named in spark.checkpoint.dir. Only a local Spark has one of its own where that is unset; a cluster is an error."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tessera-")
+    return _OWN[app]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -101,6 +109,24 @@ def unit(*cols: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+#: Equal rows that numbered() counts off in one step.
+CHUNK = 10_000
+
+
+def numbered(rows: DataFrame, number: str) -> DataFrame:
+    """rows with a number from 0 that tells equal ones apart, the same on every run.
+
+    Equal rows are counted before they are dealt, then counted off in chunks, so any number of them is
+    spread over the tasks.
+    """
+    n, chunk = fresh(rows, "_n", "_chunk")
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(n))
+    zero = F.lit(0).cast("long")
+    dealt = counted.withColumn(chunk, F.explode(F.sequence(zero, F.floor((F.col(n) - 1) / CHUNK).cast("long")))).repartition(*rows.columns, chunk)
+    ends = F.least(F.col(chunk) * CHUNK + CHUNK, F.col(n)) - 1
+    return dealt.withColumn(number, F.explode(F.sequence(F.col(chunk) * CHUNK, ends))).drop(n, chunk)
+
+
 #: Rows of one bucket of ranked() in groups of up to its square; the square root of the group beyond.
 RANK_ROWS = 400
 
@@ -108,7 +134,8 @@ RANK_ROWS = 400
 def ranked(df: DataFrame, keys: list[str], size: str, by: str, ties: list[str], rank: str) -> DataFrame:
     """Gapless rank from 0 of each row in its group by (by, ties), without a group in one task.
 
-    keys: the group; size: column with the group's row count; by: column uniform in [0, 1).
+    keys: the group; size: column with the group's row count; by: column uniform in [0, 1), so rows that
+    are alike are told apart before (numbered()).
     A group is cut by value of `by` into buckets, as many as rows in a bucket where it is large; a
     bucket's first rank is the running count of the buckets before it, and a row's rank inside is
     its row_number.

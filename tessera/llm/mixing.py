@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, materialize, ranked, table, unit
+from tessera.llm.common import fresh, materialize, numbered, ranked, table, unit
 
 WEIGHTS = (3, 1, 2)
 PERCENT = 150
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, percent: float = PE
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("h"))
-    rows = materialize(rows.withColumn("u", unit(F.col("doc_id").cast("string"), F.col("h"), seed=seed)))
+    rows = materialize(numbered(rows, "k").withColumn("u", unit(F.col("doc_id").cast("string"), F.col("h"), F.col("k"), seed=seed)))
     lengths = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     sources = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
 
@@ -115,8 +115,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, percent: float = PE
 
     planned = counted.groupBy("source").applyInPandas(plan, "source string, size bigint, n bigint, source_size bigint, target double, base int, extra bigint")
     planned = materialize(planned.withColumnsRenamed({"source": "_s", "size": "_z"}))
+    # Both sides are written, so a hot source's side of the join can be split.
     joined = rows.join(planned, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
-    placed = ranked(joined, ["source", "size"], "n", "u", ["doc_id", "h"], "r")
+    placed = ranked(materialize(joined), ["source", "size"], "n", "u", ["doc_id", "h", "k"], "r")
     times = (F.col("base") + (F.col("r") < F.col("extra")).cast("int")).cast("int")
     return placed.select("doc_id", "source", "size", "source_size", "target", times.alias("copies"), (times * F.col("size")).cast("long").alias("taken"))
 

@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, ranked, table, unit
+from tessera.llm.common import materialize, numbered, ranked, table, unit
 
 CELLS = 4096
 NODES = 32
@@ -59,15 +59,17 @@ def shard(docs: DataFrame, shards: int = 16, slack: float = 0.0, seed: int = SEE
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("place"))
-    rows = materialize(rows.withColumn("u", unit(F.col("doc_id").cast("string"), seed=seed)))
+    rows = materialize(numbered(rows, "k").withColumn("u", unit(F.col("doc_id").cast("string"), F.col("k"), seed=seed)))
     cell = F.pmod(F.shiftrightunsigned(F.col("place"), 40), F.lit(CELLS)).cast("int")
-    keys = rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", cell)
+    keys = materialize(rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", cell))
     sums = {r["cell"]: r["n"] for r in keys.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     runs = F.from_json(F.lit(json.dumps(place(sums, shards, slack))), "array<struct<c:int,a:bigint,b:bigint,s:int,t:bigint>>")
     runs = rows.sparkSession.range(1).select(F.inline(runs))
     before = Window.partitionBy("cell").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    keys = keys.select("place", "n", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = ranked(rows.join(keys, "place"), ["place"], "n", "u", ["doc_id"], "r").withColumn("r", F.col("r") + F.col("start"))
+    # Written before the join: both of its sides are plain exchanges, so a hot text's side can be split.
+    keys = materialize(keys.select("place", "n", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    joined = materialize(rows.join(keys, "place"))
+    placed = ranked(joined, ["place"], "n", "u", ["doc_id", "k"], "r").withColumn("r", F.col("r") + F.col("start"))
     # The runs are a few for each of a fixed number of cells.
     found = placed.join(F.broadcast(runs), (F.col("cell") == F.col("c")) & (F.col("r") >= F.col("a")) & (F.col("r") < F.col("b")))
     return found.select("doc_id", "size", "text_crc32", F.col("s").alias("shard"), (F.col("t") + F.col("r") - F.col("a")).alias("slot"))

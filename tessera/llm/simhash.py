@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, letting_go, materialize, prepare, table
+from tessera.llm.common import discard, fresh, letting_go, materialize, prepare, table
 
 SEED = 42
 WORDS = 3
@@ -150,12 +150,15 @@ def components(links: DataFrame) -> DataFrame:
     seen = measure(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # What is aggregated by node is written before it meets the links of a node, so both sides are plain exchanges.
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = materialize(small.filter("a != b").distinct())
+        large = materialize(large)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        before, edges = edges, materialize(small.filter("a != b").distinct())
         now = measure(edges)
+        discard(before, low, large, least)
         if now == seen:
             break
         seen = now
@@ -174,11 +177,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
     every = materialize(fingerprints(docs.select("doc_id", "text"), words, seed))
     first = every.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(fingerprint_links(first.select("fp"), radius, bucket))
-    known = first.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    known = materialize(first.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")))
     # A class of many fingerprints is reduced by partial aggregation before its rows meet.
-    low = known.filter("node is not null").groupBy("root").agg(F.min("first").alias("low"))
+    low = materialize(known.filter("node is not null").groupBy("root").agg(F.min("first").alias("low")))
     classes = known.join(low, "root", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return every.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return every.join(materialize(classes), "fp").select("doc_id", "fp", "component_id")
 
 
 def text_hash() -> Column:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_queries import check
 
-from tessera.llm import mixing, queries, sharding, topk, urls
+from tessera.llm import common, mixing, queries, sharding, topk, urls
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
@@ -151,3 +151,54 @@ def test_urls_of_deep_keys(spark):
     df = spark.createDataFrame([(i, u, datetime.date(2024, 5, 1)) for i, u in enumerate(pages)], "capture_id long, url string, fetched date")
     got = {r.capture_id: r.reasons for r in urls.judge(df, entries).collect()}
     assert got == {0: "deep", 1: "deep", 2: "", 3: "", 4: "flat"}
+
+
+def test_numbers_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "CHUNK", 7)
+    rows = spark.createDataFrame([(None, "a")] * 50 + [(1, "a")] * 8 + [(2, None)], "i int, t string").repartition(4)
+    got = [tuple(r) for r in common.numbered(rows, "k").collect()]
+    assert sorted(got, key=str) == sorted([(None, "a", k) for k in range(50)] + [(1, "a", k) for k in range(8)] + [(2, None, 0)], key=str)
+
+
+def test_many_equal_rows_are_dealt(spark):
+    """A hundred thousand equal rows are ranked in many buckets, and mixed and placed like any others."""
+    docs = spark.range(100_300).select(F.when(F.col("id") >= 300, -1).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") >= 300, "same words here").otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.lit("s").alias("source"))
+    got = sharding.shard(docs)
+    by = {r.shard: (r.n, r.top) for r in got.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()}
+    assert sum(n for n, _ in by.values()) == 100_300 and {n for n, _ in by.values()} <= {6268, 6269} and all(top == n - 1 for n, top in by.values())
+    mixed = mixing.mix(docs)
+    assert mixed.agg(F.sum("taken")).first()[0] == round(1.5 * (300_000 + 600))
+    rows = mixed.select("doc_id", "source", "size").withColumn("n", F.lit(100_300)).repartition(4)
+    ranks = common.ranked(common.numbered(rows, "k").withColumn("u", common.unit(F.col("doc_id"), F.col("k"), seed=1)), ["source"], "n", "u", ["doc_id", "k"], "r")
+    assert ranks.agg(F.countDistinct("r"), F.max("r")).first()[:2] == (100_300, 100_299)
+
+
+def test_placement_is_a_walk_key_by_key():
+    """place() against a walk that carries each key on its own around the ring."""
+    rng = np.random.default_rng(6)
+    for shards, slack in ((3, 0.0), (7, 0.1), (16, 0.0)):
+        counts = {int(c): int(n) for c, n in zip(rng.choice(sharding.CELLS, 200, replace=False), rng.integers(1, 9, 200), strict=True)}
+        points, total = sharding.ring(shards), sum(counts.values())
+        room = [total // shards + (s < total % shards) if not slack else -int(-(1 + slack) * total // shards) for s in range(shards)]
+        used, want = [0] * shards, []
+        for cell in sorted(counts):
+            for rank in range(counts[cell]):
+                clockwise = [s for at, s in points if at >= cell] + [s for at, s in points if at < cell]
+                s = next(s for s in clockwise if used[s] < room[s])
+                want.append((cell, rank, s, used[s]))
+                used[s] += 1
+        got = [(r["c"], k, r["s"], r["t"] + k - r["a"]) for r in sharding.place(counts, shards, slack) for k in range(r["a"], r["b"])]
+        assert sorted(got) == sorted(want)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    class Context:
+        master, applicationId = "spark://somewhere", "x"
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.scratch(Session())
+    assert common.scratch(spark) == common.scratch(spark)
