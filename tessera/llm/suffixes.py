@@ -4,16 +4,17 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
 found as suffixes that share a bucket:
 
 1. Initial buckets. Every window of `length` bytes picks its smallest q-gram, the leftmost on ties, so
-   equal windows pick the same one at the same place. Suffixes are bucketed by the picked q-gram's
-   hash; a bucket of one is final.
-2. Whole runs. The windows that pick one q-gram occurrence are consecutive. Where the text of such a
-   run is found twice in a bucket, all of its windows repeat; one of the equal runs stands for all.
-3. Refinement. Where a bucket holds different runs, their texts meet. Suffixes in it are sorted by
-   the bucket identifiers of their quarter and the next one, then by the new identifiers at half the
-   length: buckets double in depth as updates are reused, and those of one suffix are dropped.
-
-A bucket of more than `bucket` different runs is dealt over several tasks; windows still single in
-theirs then meet by the hash of the whole window. Nothing is capped.
+   equal windows pick the same one at the same place. The windows that pick one occurrence of a q-gram
+   are consecutive: a run. Suffixes are bucketed by the picked q-gram's hash; a bucket of one run is
+   final.
+2. Equal runs of a bucket are told by their hash and stand there once, with their number.
+3. Refinement. The texts of a bucket's runs meet in a task. Its suffixes are sorted by their bucket
+   identifier and that of the suffix as many bytes later as buckets are deep, which doubles the depth;
+   the new identifiers are used for the next round, until no bucket holds two suffixes (a run's number
+   counts) or buckets are `length` bytes deep. Suffixes that still share one repeat.
+
+Identifiers are the same in every task, so a bucket of more than `bucket` runs is dealt over several
+tasks, and suffixes still single in theirs meet by their last identifiers. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from tessera.llm.common import discard, extended, fresh, letting_go, materialize
 
 LENGTH = 200
 Q = 64
+#: Bytes that the first buckets of a refinement are deep.
+DEPTH = 25
 #: Different runs of a bucket that meet in one task.
 BUCKET = 4096
 #: Windows of a text looked at together, and bytes of runs refined together: memory only.
@@ -88,27 +91,49 @@ def runs(text: bytes, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.
     return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4))
 
 
-def refine(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of the texts in turn: text, offset, whether another window equals it, window hash."""
+def refine(texts: list[bytes], number: np.ndarray, length: int = LENGTH, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of the texts in turn: text, offset, whether another window equals it, place in the joined texts.
+
+    number: how often each text stands in the bucket. Buckets are `depth` bytes deep to begin with.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    of = np.repeat(np.arange(len(texts)), sizes)
+    room = np.cumsum(sizes)[of] - np.arange(len(of))  # bytes from a suffix to the end of its text
+    times, bucket = number[of], np.zeros(len(of), np.int64)
+
+    def dealt(live: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that share their bucket, also as marks of all; buckets of equal keys get an identifier."""
+        bucket[live] = np.unique(keys, return_inverse=True)[1]
+        shared = live[np.bincount(bucket[live], times[live])[bucket[live]] > 1]
+        held = np.zeros(len(of), bool)
+        held[shared] = True
+        return shared, held
+
+    depth = min(depth, length)
+    live = np.flatnonzero(room >= depth)
+    shared, held = dealt(live, _Hashes(np.frombuffer(b"".join(texts), np.uint8)).grams(depth)[live])
+    while depth < length and len(shared):
+        step = min(depth, length - depth)
+        live = shared[room[shared] >= depth + step]
+        live = live[held[live + step]]  # where the later part is alone, the whole is
+        shared, held = dealt(live, bucket[live] << 32 | bucket[live + step])
+        depth += step
     count = sizes - length + 1
-    of = np.repeat(np.arange(len(texts)), count)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    start = np.repeat(np.cumsum(sizes) - sizes, count) + offset
-    quarter, half = length // 4, length // 2
-    rest = length - half
-    hashes = _Hashes(np.frombuffer(b"".join(texts), np.uint8))
-    first = hashes.grams(quarter)
-    # Depth of a quarter to a half: by the identifier of the suffix and of the one a quarter later.
-    second = first[: len(first) - (half - quarter)] * _U(0x9E3779B97F4A7C15) + _mix(first[half - quarter :])
-    ids, bucket, size = np.unique(np.concatenate([second[start], second[start + rest]]), return_inverse=True, return_counts=True)
-    near, far = bucket[: len(start)], bucket[len(start) :]
-    again = np.zeros(len(start), bool)
-    live = np.flatnonzero((size[near] > 1) & (size[far] > 1))
-    # Depth of a half to the whole: by the updated identifiers.
-    _, bucket, size = np.unique(near[live].astype(np.int64) << 32 | far[live], return_inverse=True, return_counts=True)
-    again[live] = size[bucket] > 1
-    return of, offset, again, (_mix(ids[near] * _U(0xC2B2AE3D27D4EB4F)) + ids[far]).view(np.int64)
+    text = np.repeat(np.arange(len(texts)), count)
+    offset = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(sizes) - sizes)[text] + offset
+    return text, offset, held[at], at
+
+
+def identifiers(texts: list[bytes], length: int = LENGTH, depth: int = DEPTH) -> np.ndarray:
+    """Of every suffix of the joined texts: its bucket's identifier at full depth, by the rounds of refine(), the same in any task."""
+    depth = min(depth, length)
+    name = _Hashes(np.frombuffer(b"".join(texts), np.uint8)).grams(depth)
+    while depth < length:
+        step = min(depth, length - depth)
+        name = _mix(name[: len(name) - step] * _U(0xC2B2AE3D27D4EB4F)) + name[step:]
+        depth += step
+    return name.view(np.int64)
 
 
 def _spans(of: np.ndarray, offset: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,11 +150,11 @@ def _binary(df: DataFrame, name: str):
     return F.coalesce(df[name].cast("string").cast("binary"), F.lit(b""))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BUCKET) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BUCKET, again: bool = False) -> DataFrame:
     """(key, spans) of the rows of docs (key, text binary) that hold a repeated string.
 
     spans: array of (a, b), first and last start of strings of `length` bytes that start elsewhere too.
-    Rows that share a key must be equal.
+    again: rows may share a key; they must be equal then.
     """
     prepare(docs.sparkSession)
     kind = docs.schema["key"].dataType.simpleString()
@@ -141,76 +166,81 @@ def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BU
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([g[i] for g in got]).astype(t))) for i, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "h", "r", "a", "b"])
 
-    long = docs.filter(F.octet_length("text") >= length).mapInArrow(lambda batches: letting_go(cut(batches)), f"key {kind}, h array<bigint>, r array<bigint>, a array<int>, b array<int>")
-    shared = materialize(long.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
-    found = materialize(long.select("key", F.inline(F.arrays_zip("h", "r", "a", "b"))).join(shared, "h"))
-    # By run: how often, and one that stands for it; by bucket: how many different runs.
-    same = found.groupBy("h", "r").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a")).alias("one"))
-    kinds = same.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-    judged = materialize(found.join(same.join(kinds, "h"), ["h", "r"]))
-    whole = judged.filter("n > 1").select("key", "a", "b")
-    meet = judged.filter((F.col("m") > 1) & ((F.col("n") == 1) | (F.struct("key", "a") == F.col("one"))))
-    lists = meet.groupBy("key").agg(F.collect_list(F.struct("h", "m", "a", "b", (F.col("n") > 1).alias("known"))).alias("runs"))
+    long = docs.filter(F.octet_length("text") >= length)
+    every = materialize(long.mapInArrow(lambda batches: letting_go(cut(batches)), f"key {kind}, h array<bigint>, r array<bigint>, a array<int>, b array<int>"))
+    shared = materialize(every.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    found = materialize(every.select("key", F.inline(F.arrays_zip("h", "r", "a", "b"))).join(shared, "h"))
+    discard(every, shared)
+    # Equal runs as one, with their number; by bucket, how many different runs. Written before they are
+    # joined: both sides are plain exchanges then, so a hot bucket's side can be split.
+    same = materialize(found.groupBy("h", "r").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a", "b")).alias("one")))
+    kinds = materialize(same.groupBy("h").agg(F.count(F.lit(1)).alias("m")))
+    lists = same.join(kinds, "h").groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("h", "r", "n", "m", "one.a", "one.b")).alias("runs"))
+    once = long.dropDuplicates(["key"]) if again else long
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ("h", "r", "n", "m"), (pa.int64(),) * 4
         for b in batches:
-            for i, (key, text, rows) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)):
+            for text, rows in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
                 for k in range(0, len(rows), 20_000):
                     part = rows[k : k + 20_000]
-                    data = [[x["h"] for x in part], [x["m"] for x in part], [x["a"] for x in part], [x["known"] for x in part], [text[x["a"] : x["b"] + length] for x in part]]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).take(pa.array([0] * len(part))), *map(pa.array, data, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["key", "h", "m", "a", "known", "text"])
+                    data = [pa.array([x[c] for x in part], t) for c, t in zip(names, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*data, pa.array([text[x["a"] : x["b"] + length] for x in part], pa.binary())], [*names, "text"])
 
-    sent = docs.join(lists, "key").select("key", "text", "runs").mapInArrow(lambda batches: letting_go(texts(batches)), f"key {kind}, h bigint, m bigint, a int, known boolean, text binary")
+    sent = once.join(lists, "key").select("text", "runs").mapInArrow(lambda batches: letting_go(texts(batches)), "h bigint, r bigint, n bigint, m bigint, text binary")
     parts = F.ceil(F.col("m") / bucket)
-    sent = sent.withColumn("s", F.pmod(F.xxhash64("key", "a"), parts)).withColumn("many", parts > 1)
+    sent = sent.withColumn("s", F.pmod("r", parts)).withColumn("many", parts > 1)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for b in batches:
-            h, s = b.column(1).to_numpy(), b.column(2).to_numpy()
+            h, s = b.column(0).to_numpy(), b.column(1).to_numpy()
             edge = np.append(0, np.flatnonzero((np.diff(h) != 0) | (np.diff(s) != 0)) + 1) if len(h) else np.zeros(0, int)
-            if held and len(h) and (held[-1].column(1)[-1].as_py(), held[-1].column(2)[-1].as_py()) == (h[0], s[0]):
+            if held and len(h) and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) == (h[0], s[0]):
                 edge = edge[1:]  # the first group goes on from the batch before
-            bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(6)).to_numpy())])
+            bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(5)).to_numpy())])
             start = 0
             for e in edge:
                 if size + bytes_before[e] - bytes_before[start] >= BATCH and (e > start or held):
-                    yield from bpr([*held, b.slice(start, e - start)])
+                    yield from refined_of([*held, b.slice(start, e - start)])
                     held, size, start = [], 0, e
             held.append(b.slice(start))
             size += bytes_before[-1] - bytes_before[start]
-        yield from bpr(held)
+        yield from refined_of(held)
 
-    def bpr(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def refined_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks() if held else None
         if t is None or not t.num_rows:
             return
-        known, many, a = (t.column(i).to_numpy() for i in (4, 5, 3))
-        of, offset, again, window = refine(t.column(6).to_pylist(), length)
-        row, x, y = _spans(of, offset, again & ~known[of])
-        keys = t.column(0).combine_chunks()
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(a[row] + x, pa.int32()), pa.array(a[row] + y, pa.int32()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int64())], ["key", "a", "b", "h", "w"])
+        h, r, number, many = (t.column(i).to_numpy() for i in (0, 2, 3, 4))
+        text = t.column(5).to_pylist()
+        of, offset, equal, at = refine(text, number, length)
+        names = ["h", "r", "a", "b", "w"]
+        row, x, y = _spans(of, offset, equal)
+        yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(r[row]), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.nulls(len(row), pa.int64())], names)
         if many.any():
-            h = t.column(1).to_numpy()
+            window = identifiers(text, length)[at]
             for seen in (False, True):
-                at = np.flatnonzero(many[of] & ((again | known[of]) == seen))
+                some = np.flatnonzero(many[of] & (equal == seen))
                 if seen:  # once is enough
-                    at = at[np.unique(window[at], return_index=True)[1]]
-                n, place = len(at), a[of[at]] + offset[at]
-                where = pa.nulls(n, pa.int32()) if seen else pa.array(place, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, keys.type) if seen else keys.take(pa.array(of[at])), where, where, pa.array(h[of[at]]), pa.array(window[at])], ["key", "a", "b", "h", "w"])
-
-    # Columns: 0 key, 1 h, 2 s, 3 a, 4 known, 5 many, 6 text.
-    dealt = sent.repartition("h", "s").sortWithinPartitions("h", "s").select("key", "h", "s", "a", "known", "many", "text")
-    refined = materialize(dealt.mapInArrow(lambda batches: letting_go(sort(batches), _powers.cache_clear), f"key {kind}, a int, b int, h bigint, w bigint"))
-    spans = whole.unionByName(refined.filter("w is null").select("key", "a", "b"))
+                    some = some[np.unique(window[some], return_index=True)[1]]
+                n, place = len(some), pa.array(offset[some], pa.int32())
+                where = pa.nulls(n, pa.int32()) if seen else place
+                yield pa.RecordBatch.from_arrays([pa.array(h[of[some]]), pa.array(r[of[some]]), where, where, pa.array(window[some])], names)
+
+    dealt = sent.repartition("h", "s").sortWithinPartitions("h", "s").select("h", "s", "r", "n", "many", "text")
+    refined = materialize(dealt.mapInArrow(lambda batches: letting_go(sort(batches), _powers.cache_clear), "h bigint, r bigint, a int, b int, w bigint"))
+    hits = refined.filter("w is null").select("h", "r", "a", "b")
     open_ = refined.filter("w is not null")
     if not open_.isEmpty():
-        twice = open_.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w")
-        spans = spans.unionByName(open_.filter("a is not null").join(twice, ["h", "w"]).select("key", "a", "b"))
-    spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    discard(shared, found, judged, refined)
+        twice = materialize(open_.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"))
+        hits = hits.unionByName(open_.filter("a is not null").join(twice, ["h", "w"]).select("h", "r", "a", "b"))
+    # From the runs that stand for others to all of these.
+    at = hits.select("h", "r", F.col("a").alias("x"), F.col("b").alias("y"))
+    placed = found.join(at, ["h", "r"]).select("key", (F.col("a") + F.col("x")).alias("a"), (F.col("a") + F.col("y")).alias("b"))
+    spans = materialize((placed.distinct() if again else placed).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    discard(found, same, kinds, refined)
     return spans
 
 
@@ -239,7 +269,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BUCKE
     repeats = not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
     name = F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(F.col("text").cast("string"))) if repeats else F.col("doc_id")
     keyed = docs.withColumn(key, name).withColumn(text, _binary(docs, "text"))
-    found = repeated(keyed.select(F.col(key).alias("key"), F.col(text).alias("text")), length, q, bucket).withColumnsRenamed({"key": key, "spans": spans})
+    found = repeated(keyed.select(F.col(key).alias("key"), F.col(text).alias("text")), length, q, bucket, repeats).withColumnsRenamed({"key": key, "spans": spans})
     both = keyed.join(found, key, "left").drop(key).select(*docs.columns, text, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
