@@ -1,21 +1,23 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as its own embedding plus those of its character n-grams, both hashed. Places that the
-labelled sample doesn't tie to either label have the zero embedding, so no rare word is learned by
-heart. Two gated recurrent layers read each window of words, forwards and backwards; attention pools
-their states and a logistic unit scores the window. A text's score is that of its highest window, over
-overlapping windows of the whole text; equal windows are worked out once. Training alternates between
-finding each labelled text's highest window and fitting the network to these windows.
+A word enters as its own embedding plus those of its character n-grams, both hashed. Every place that
+the labelled texts use has an embedding that is trained, under weight decay; those that tell the labels
+apart start with how much they do, the others near zero, and places that are in few texts have none,
+so no rare word is learned by heart. Two gated recurrent layers read each window of words, forwards and
+backwards; attention pools their states and a logistic unit scores the window. A text's score is that
+of its highest window, over overlapping windows of the whole text; equal windows are worked out once.
+Training alternates between finding each labelled text's highest window and fitting the network to
+these windows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import extended, fresh, letting_go, prepare, table
@@ -25,11 +27,15 @@ HIDDEN, EMBED, ATTEND = 8, 8, 8
 #: Hashed places of words and of character n-grams.
 WORD_PLACES, GRAM_PLACES = 1 << 15, 1 << 15
 GRAMS = (3, 4, 5)
-#: The bounded sample that the network is fitted to: labelled rows of each label, by a seeded order.
-SAMPLE_ROWS = 1500
-#: A place counts where its share of texts differs between the labels by this many standard errors, and in
-#: as many texts at least.
-LEAST_Z, LEAST_TEXTS = 4.0, 4
+#: The bounded sample that the network is fitted to: labelled rows of each label, by a seeded order, and
+#: as many of these as begin within so many bytes of text.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 32 << 20
+#: A place has an embedding if it is in so many labelled texts and in so large a share of them, or if its share
+#: of texts differs between the labels by so many standard errors; then it starts with the difference. All
+#: start with so much noise.
+LEAST_TEXTS, LEAST_SHARE, LEAST_Z, NOISE = 4, 0.01, 4.0, 0.01
+#: Weight decay of embeddings and of all else, per unit of the learning rate.
+DECAY, DECAY_REST = 3.0, 0.05
 #: Weight of the summed n-grams beside the word.
 GRAM_WEIGHT = 0.3
 ROUNDS, STEPS, BATCH = 6, 30, 128
@@ -95,7 +101,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters by name; words become rows of gate inputs, so a window costs recurrences only.
 
-    Row 0 of the words stands for all neutral words, those whose places have no embedding.
+    Row 0 of the embeddings is that of all places without one.
     """
 
     def __init__(self, seed: int = SEED):
@@ -213,15 +219,13 @@ class Network:
             g[name][0] = 0
         return g
 
-    def choose(self, texts: list[list[str]], labels: np.ndarray, rng: np.random.Generator) -> None:
-        """Give an embedding to the places that tell the labels apart, by the number of texts that have them."""
-        lexicon: dict[str, int] = {}
-        rows = [np.unique(np.array([lexicon.setdefault(w, len(lexicon)) for w in t], np.int64)) for t in texts]
-        word, gram, of = _hashed(list(lexicon))
+    def choose(self, texts: list[np.ndarray], words: list[str], labels: np.ndarray, rng: np.random.Generator) -> None:
+        """Give an embedding to the places that enough texts have, by the number of texts of each label that have them."""
+        rows = [np.unique(t) for t in texts]
+        word, gram, of = _hashed(words)
         order = np.argsort(of, kind="stable")
-        lists = (word, np.arange(len(word)), gram[order], of[order])
         n = np.bincount(labels, minlength=2)
-        for name, size, values, owner in (("word", WORD_PLACES, *lists[:2]), ("gram", GRAM_PLACES, *lists[2:])):
+        for name, size, values, owner in (("word", WORD_PLACES, word, np.arange(len(word))), ("gram", GRAM_PLACES, gram[order], of[order])):
             count = np.zeros((2, size))
             for i in range(0, len(rows), 100):
                 part = np.concatenate(rows[i : i + 100])
@@ -231,32 +235,31 @@ class Network:
                 np.add.at(count, (labels[i + pairs // size], pairs % size), 1)
             share = count.sum(axis=0) / n.sum()
             z = (count[1] / n[1] - count[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
-            chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (count.sum(axis=0) >= LEAST_TEXTS))
+            tied = np.abs(z) >= LEAST_Z
+            chosen = np.flatnonzero((count.sum(axis=0) >= LEAST_TEXTS) & (tied | (share >= LEAST_SHARE)))
             self.row[name][chosen] = np.arange(1, len(chosen) + 1)
             self.p[name] = np.zeros((len(chosen) + 1, EMBED), _F)
-            self.p[name][1:] = _F(0.1) * rng.standard_normal((len(chosen), EMBED))
-            self.p[name][1:, 0] = np.clip(z[chosen] / 10, -2, 2)
+            self.p[name][1:] = _F(NOISE) * rng.standard_normal((len(chosen), EMBED))
+            self.p[name][1:, 0] += np.where(tied[chosen], np.clip(z[chosen] / 10, -2, 2), 0)
 
-    def fit(self, texts: list[list[str]], labels: np.ndarray, seed: int = SEED) -> Network:
-        """Fit to texts (as words) and labels of 0 and 1; without both labels nothing tells texts apart and all scores are low."""
+    def fit(self, texts: list[np.ndarray], words: list[str], labels: np.ndarray, seed: int = SEED) -> Network:
+        """Fit to texts (as places in words) and labels of 0 and 1; without both labels nothing tells texts apart and all scores are low."""
         if not len(texts) or labels.min() == labels.max():
             self.level = 4.0
             self.p["ow"][:] = 0
             return self
         rng = np.random.default_rng(seed)
-        self.choose(texts, labels, rng)
-        scorer = Scorer(self)
-        rows = scorer.rows(texts)
-        words = scorer.words
+        self.choose(texts, words, labels, rng)
         features = self.features(words)
-        ids, owner = stack(rows, len(words))
+        ids, owner = stack(texts, len(words))
         one, back = distinct(ids)
         windows = ids[one]
         pos, neg = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+        told = np.append(np.abs(self.inputs(features)[:, 0]) > 0.3, False)
         mean, square, step = {}, {}, 0
         for turn in range(ROUNDS):
-            # Each text's highest window; to begin with the one with most words that have an embedding.
-            scores = self.logits(self.gates(self.inputs(features)), windows)[back] if turn else ((ids > 0) & (ids < len(words))).sum(axis=1)
+            # Each text's highest window; to begin with the one with most words that tell the labels apart.
+            scores = self.logits(self.gates(self.inputs(features)), windows)[back] if turn else told[ids].sum(axis=1)
             rank = np.lexsort((-scores, owner))
             best = rank[np.flatnonzero(np.append(True, np.diff(owner[rank]) > 0))]
             for _ in range(STEPS):
@@ -268,9 +271,9 @@ class Network:
                 at, per = _ranges(features[2], used)
                 own = features[0][used], features[1][at], np.repeat(np.arange(len(used)), per)
                 for k, grad in self.gradients(own, local.reshape(BATCH, WINDOW), labels[some].astype(_F)).items():
-                    grad = grad + _F(1e-3) * self.p[k]
                     mean[k] = _F(0.9) * mean.get(k, _F(0)) + _F(0.1) * grad
                     square[k] = _F(0.99) * square.get(k, _F(0)) + _F(0.01) * grad * grad
+                    self.p[k] *= _F(1 - rate * (DECAY if k in self.row else DECAY_REST))
                     self.p[k] -= _F(rate) * (mean[k] / _F(1 - 0.9**step)) / (np.sqrt(square[k] / _F(1 - 0.99**step)) + _F(1e-6))
                 self.p["word"][0] = self.p["gram"][0] = 0
         scores = self.logits(self.gates(self.inputs(features)), windows)[back]
@@ -300,56 +303,66 @@ def stack(rows: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(inside, flat[np.minimum(at + offsets[owner][:, None], len(flat) - 1)], pad), owner
 
 
+def numbers(texts: Iterable[str | None]) -> tuple[list[np.ndarray], list[str]]:
+    """Texts as places in a list of all their words."""
+    places: dict[str, int] = {}
+    out = [np.fromiter((places.setdefault(w, len(places)) for w in words_of(t)), np.int64) for t in texts]
+    return out, list(places)
+
+
 class Scorer:
-    """A network with the rows of the words it has met; row 0 is any neutral word."""
+    """A network with the gate inputs of the words it has met; row 0 is any neutral word, one without an embedding."""
 
     def __init__(self, network: Network):
         self.network = network
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.words = [""]
+        self.gates = [g[:1] for g in self.network.gates(np.zeros((1, EMBED), _F))]
+        self.pads = [g[1:] for g in self.network.gates(np.zeros((1, EMBED), _F))]
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Rows of the texts' words, new words learned."""
         if len(self.known) > KNOWN_WORDS:
-            self.known, self.words = {}, [""]
+            self.forget()
         new = sorted(set().union(*texts).difference(self.known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            word, _, of = self.network.features(part)
-            marked = word > 0
-            marked[of] = True
-            self.known.update(dict.fromkeys(part, 0))
-            for k in np.flatnonzero(marked):
-                self.known[part[k]] = len(self.words)
-                self.words.append(part[k])
+            features = self.network.features(part)
+            marked = features[0] > 0
+            marked[features[2]] = True
+            at = np.cumsum(marked) + len(self.gates[0]) - 1
+            self.known.update(zip(part, np.where(marked, at, 0).tolist(), strict=True))
+            made = self.network.gates(self.network.inputs(features))
+            self.gates = [np.concatenate([g, m[:-1][marked]]) for g, m in zip(self.gates, made, strict=True)]
         get = self.known.__getitem__
         return [np.fromiter(map(get, w), np.int64, len(w)) for w in texts]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Score of each whole text."""
         ids, owner = stack(self.rows([words_of(t) for t in texts]), -1)
-        # Equal windows are worked out once.
+        # Equal windows are worked out once; padding is the last row.
         one, back = distinct(ids)
-        rows, local = np.unique(ids[one], return_inverse=True)
-        local = local.reshape(len(one), WINDOW)
-        if rows[0] == -1:  # padding becomes the last row
-            rows, local = rows[1:], np.where(local, local - 1, len(rows) - 1)
-        gates = self.network.gates(self.network.inputs(self.network.features([self.words[i] for i in rows])))
+        rows, local = np.unique(np.append(ids[one].ravel(), -1), return_inverse=True)
+        local = (local[:-1].reshape(len(one), WINDOW) - 1) % len(rows)
+        gates = tuple(np.concatenate([g[rows[1:]], pad]) for g, pad in zip(self.gates, self.pads, strict=True))
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, owner, self.network.logits(gates, local)[back])
         return 1 / (1 + np.exp(-np.clip(top - self.network.level, -500, 500)))
 
 
-def held_out(doc_id):
-    """Whether a document is kept from training."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is kept from training; one without an id is not, as no label names it."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED) -> Network:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES, seed: int = SEED) -> Network:
     """A network fitted to at most `rows` labelled documents of each label, none of them held out.
 
-    The sample is the first rows by a seeded hash of doc_id; it is all of the corpus that the driver
-    sees. Rows that repeat a doc_id count once, and the label 1 wins.
+    The sample is the first rows by a seeded hash of doc_id, of each label as many as begin within
+    `most` bytes of text; it is all of the corpus that the driver sees, one text at a time. Rows that
+    repeat a doc_id count once, and the label 1 wins.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -357,8 +370,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
     some = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (0, 1)]
     # A sample of a fixed number of ids.
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id")
-    found = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).orderBy("doc_id").collect()
-    return Network(seed).fit([words_of(r["text"]) for r in found], np.array([r["toxic"] for r in found], int), seed)
+    found = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    before = Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).filter(F.col("_before") < most)
+    marks: list[int] = []
+
+    def texts() -> Iterator[str | None]:
+        for r in found.orderBy("doc_id").select("toxic", "text").toLocalIterator():
+            marks.append(r["toxic"])
+            yield r["text"]
+
+    ids, words = numbers(texts())
+    return Network(seed).fit(ids, words, np.array(marks, int), seed)
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:

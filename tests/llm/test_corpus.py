@@ -60,6 +60,25 @@ def test_pieces_and_batches(spark, monkeypatch):
     assert all(a[0] == b[0] + 1 for a, b in zip(np.stack(whole[2:])[:, 1:].T, np.stack(whole[2:])[::-1, :-1].T, strict=True))
 
 
+def test_refinement_settles_repeats():
+    """refine() and identifiers() against counts of whole windows, whatever the depth to begin with."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        base = bytes(rng.integers(97, 99, 90).astype("u1"))
+        texts = [base[int(a) : int(a) + int(n)] for a, n in zip(rng.integers(0, 30, 6), rng.integers(20, 60, 6), strict=True)]
+        number = rng.integers(1, 3, 6)
+        counts: Counter = Counter()
+        for t, n in zip(texts, number, strict=True):
+            for i in range(len(t) - 19):
+                counts[t[i : i + 20]] += int(n)
+        for depth in (1, 3, 8, 20):
+            of, offset, equal, at = suffixes.refine(texts, number, 20, depth)
+            windows = [texts[k][i : i + 20] for k, i in zip(of, offset, strict=True)]
+            assert equal.tolist() == [counts[w] > 1 for w in windows]
+            names = suffixes.identifiers(texts, 20, depth)[at].tolist()
+            assert len(set(zip(names, windows, strict=True))) == len(set(names)) == len(set(windows))
+
+
 def test_passages_of_odd_documents(odd, empty):
     rows = [(r.doc_id, (r.text or "").encode()) for r in odd.select("doc_id", "text").collect()]
     assert ours(odd) == plain(rows)
@@ -109,6 +128,7 @@ def test_toxicity_of_odd_documents(spark, odd, empty):
     got = toxicity.score(odd, toxicity.train(odd, labels)).collect()
     assert len(got) == 11 and all(0 <= r.score_1 <= 1 for r in got)
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
+    assert {r.h for r in odd.select(toxicity.held_out(F.col("doc_id")).alias("h")).collect()} <= {True, False}
     assert toxicity.score(odd, toxicity.train(odd, labels.limit(0))).filter("score_1 >= 0.5").count() == 0
 
 
@@ -144,6 +164,55 @@ def test_gradients():
         assert (ends[0] - ends[1]) / 0.02 == pytest.approx(float(grads[k].reshape(-1)[at]), abs=2e-4)
 
 
+def plain_score(net, text: str | None) -> float:
+    """The network's equations one word and one window at a time."""
+    words = toxicity.words_of(text)
+    p, sig = {k: v.astype(float) for k, v in net.p.items()}, lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word: str) -> np.ndarray:
+        own, grams, _ = toxicity._hashed([word])
+        return p["word"][net.row["word"][own[0]]] + toxicity.GRAM_WEIGHT * sum((p["gram"][net.row["gram"][g]] for g in grams), np.zeros(toxicity.EMBED))
+
+    def pass_over(vectors: list, way: str) -> list:
+        h, state, out = toxicity.HIDDEN, np.zeros(toxicity.HIDDEN), []
+        for x in vectors:
+            a, u = x @ p[f"x{way}"] + p[f"b{way}"], state @ p[f"h{way}"]
+            z, r = sig(a[:h] + u[:h]), sig(a[h : 2 * h] + u[h : 2 * h])
+            new = np.tanh(a[2 * h :] + r * u[2 * h :])
+            state = (1 - z) * new + z * state
+            out.append(state)
+        return out
+
+    tops = []
+    for start in toxicity.windows_of(len(words)):
+        shown = [vector(w) for w in words[start : start + toxicity.WINDOW]]
+        states = [np.concatenate(x) for x in zip(pass_over(shown, "f"), pass_over(shown[::-1], "b")[::-1], strict=True)] or [np.zeros(2 * toxicity.HIDDEN)]
+        e = np.exp([np.tanh(s @ p["aw"] + p["ab"]) @ p["av"] for s in states])
+        tops.append(sum(w * s for w, s in zip(e / e.sum(), states, strict=True)) @ p["ow"] + p["ob"][0])
+    return sig(max(tops) - net.level)
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    rng = np.random.default_rng(1)
+    net = toxicity.Network()
+    net.level = 0.3
+    for k, n in (("word", 50), ("gram", 90)):
+        net.p[k], net.row[k] = rng.standard_normal((n, toxicity.EMBED)).astype("f4") * 0.5, rng.integers(0, n, len(net.row[k])) * (rng.random(len(net.row[k])) < 0.7)
+        net.p[k][0] = 0
+    texts = ["one two three", "", None, " ".join(f"word{i % 37}" for i in range(150)), "a", "Ünïcode straße " * 25]
+    scorer = toxicity.Scorer(net)
+    for _ in range(2):  # a second time from words that are known
+        assert scorer.score(texts) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    rows = toy(300, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    small, large = (toxicity.train(docs, labels, most=n) for n in (20_000, 1 << 20))
+    assert not np.array_equal(small.p["ow"], large.p["ow"]) and np.array_equal(toxicity.train(docs, labels).p["ow"], large.p["ow"])
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
