@@ -1,10 +1,16 @@
-"""Which partitions and rows a run takes: DataFrames with columns order and pixel."""
+"""Which partitions and rows a run takes: DataFrames with columns order and pixel.
+
+The list of partitions is a catalog's index (a row for each file), not its data: what is ordered as a
+whole here is that list alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import layout
+
 KEY = ["order", "pixel"]
 
 
@@ -20,7 +26,7 @@ def missing(partitions: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def shard(partitions: DataFrame, rank: int, of: int) -> DataFrame:
-    """Every of-th partition in order from rank on. The list of partitions is a catalog's index, not its data."""
+    """Every of-th partition in order from rank on."""
     if not 0 <= rank < of:
         raise ValueError(f"rank {rank} is outside 0 to {of - 1}")
     place = F.row_number().over(Window.orderBy(*KEY)) - 1
@@ -49,6 +55,11 @@ def summary(status: DataFrame) -> DataFrame:
     return status.agg(of("done").alias("done"), of("skipped").alias("skipped"), of("failed").alias("failed"), F.coalesce(F.sum(F.when(F.col("state") == "done", F.col("rows"))), F.lit(0)).cast("long").alias("rows"))
 
 
+def by_state(status: DataFrame, state: str) -> DataFrame:
+    """(label, rows, error) of a run's partitions of one state, in order."""
+    return status.filter(F.col("state") == state).orderBy(*KEY).select(layout.label(F.col("order"), F.col("pixel")).alias("label"), "rows", "error")
+
+
 def row_groups(rows: DataFrame, by: str, size: int, batch: int) -> DataFrame:
     """rows (order, pixel, ...) with the row group of each in its partition's file, rows ordered by `by`.
 

@@ -191,11 +191,11 @@ def output_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 def partition_relpath(spark: SparkSession, sf: str) -> DataFrame:
     k = _keys(spark, sf).withColumn("pixel", F.col("pixel") * 97)
-    return k.select("order", "pixel", layout.directory(F.col("pixel")).alias("directory"), layout.relpath(F.col("order"), F.col("pixel")).alias("path"), layout.label(F.col("order"), F.col("pixel")).alias("label"))
+    return k.select("order", "pixel", layout.values(F.col("order"), F.col("pixel"))[1].alias("directory"), layout.file(F.col("order"), F.col("pixel")).alias("path"), layout.label(F.col("order"), F.col("pixel")).alias("label"))
 
 
 def partition_parse(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(F.col("pixel") % 3 == 0, layout.relpath(F.col("order"), F.col("pixel"))).when(F.col("pixel") % 3 == 1, F.concat_ws("/", "order", "pixel")).otherwise(F.concat(F.lit("Npix="), "pixel"))
+    text = F.when(F.col("pixel") % 3 == 0, layout.file(F.col("order"), F.col("pixel"))).when(F.col("pixel") % 3 == 1, F.concat_ws("/", "order", "pixel")).otherwise(F.concat(F.lit("Npix="), "pixel"))
     k = _keys(spark, sf).withColumn("text", text)
     found = layout.parsed(F.col("text"))
     return k.select("text", found["order"].alias("order"), found["pixel"].alias("pixel"))
@@ -257,7 +257,7 @@ STATUS = "SELECT vec_id % 20 AS pixel, count(*) AS \"rows\", CASE WHEN vec_id %
 
 
 def failed_partitions(spark: SparkSession, sf: str) -> DataFrame:
-    return _status(spark, sf).filter("state = 'failed'").select(layout.label(F.col("order"), F.col("pixel")).alias("label"), "rows")
+    return selection.by_state(_status(spark, sf), "failed").drop("error")
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -303,7 +303,7 @@ def end_to_end_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 def finalize_files(spark: SparkSession, sf: str) -> DataFrame:
     summary, made = _made(spark, sf)
-    told = {"partitions": len(made.partitions), "hats_nrows": int(made.properties["hats_nrows"]), "hats_order": int(made.properties["hats_order"]), "finalized": int(summary.finalized), "done": len(summary.done)}
+    told = {"partitions": len(made.partitions), "hats_nrows": int(made.properties["hats_nrows"]), "hats_order": int(made.properties["hats_order"]), "finalized": int(summary.finalized), "done": summary.counts["done"]}
     return spark.createDataFrame(sorted(told.items()), "name string, value long")
 
 

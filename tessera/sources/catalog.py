@@ -7,7 +7,7 @@ import functools
 import io
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -19,28 +19,74 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from tessera.functions import properties
-from tessera.functions.layout import DATASET, PATH, Partition
+from tessera.functions.layout import DATASET, PATH, Partition, named
 from tessera.plans.specs import IMAGE_FIELDS, alias
 
 #: File names of the catalog format.
 PROPERTIES, COLLECTION, PRIMARY, INDEX = "hats.properties", "collection.properties", "hats_primary_table_url", "partition_info.csv"
 
 
+#: Stores that must be opened by other libraries, not by Spark.
+FOREIGN = "hf"
+
+
 def normalized(source: str | os.PathLike) -> str:
-    """A hub's owner/name that is no local path becomes its dataset URL; all else stays."""
+    """A source as a URL or path. Two words with a slash name a dataset of a hub, unless there is such a path."""
     source = os.fspath(source)
-    if "://" not in source and not os.path.exists(source) and re.fullmatch(r"[\w.-]+/[\w.-]+", source):
-        return f"hf://datasets/{source}"
-    return source
+    words = source.split("/")
+    of_hub = len(words) == 2 and all(w and not re.search(r"[^\w.-]", w) for w in words)
+    return f"{FOREIGN}://datasets/{source}" if of_hub and not os.path.exists(source) else source
 
 
 def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URL or local path."""
+    if url.startswith(f"{FOREIGN}://"):
+        raise ValueError(f"{url} is a hub's; copy it to a path or store that Spark and Arrow open")
     if "://" in url:
         return pafs.FileSystem.from_uri(url)
     return pafs.LocalFileSystem(), os.path.abspath(url)
 
 
+def listed(url: str) -> dict[Partition, int]:
+    """Size of each partition file below a catalog's folder, in order, from one listing."""
+    fs, root = filesystem(url)
+    files = fs.get_file_info(pafs.FileSelector(f"{root}/{DATASET}", recursive=True, allow_not_found=True))
+    return dict(sorted((named(f.path), f.size) for f in files if f.type == pafs.FileType.File and re.search(PATH, f.path)))
+
+
+def keys(spark: SparkSession, partitions: Sequence[Partition]) -> DataFrame:
+    """(order, pixel) of the partitions."""
+    return spark.createDataFrame([tuple(p) for p in partitions], "order int, pixel long")
+
+
+FOOTER = "order int, pixel bigint, rows bigint, footer binary, error string"
+
+
+def footers(url: str, partitions: DataFrame, whole: bool = False) -> DataFrame:
+    """partitions (order, pixel) with what their files' footers say, read by tasks; whole: with the footer itself, by its path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(url)
+        for b in batches:
+            found: list[tuple] = []
+            for p in map(Partition, b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    with fs.open_input_file(f"{root}/{DATASET}/{p.file}") as f:
+                        footer = pq.read_metadata(f)
+                    kept = pa.BufferOutputStream()
+                    if whole:
+                        footer.set_file_path(p.file)
+                        footer.write_metadata_file(kept)
+                    found.append((footer.num_rows, kept.getvalue().to_pybytes() if whole else None, None))
+                except Exception as e:  # noqa: BLE001  an unreadable file is that partition's failure
+                    found.append((0, None, f"{type(e).__name__}: {e}"))
+            told = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.string()), strict=True)]
+            if told:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *told], ["order", "pixel", "rows", "footer", "error"])
+
+    return partitions.select("order", "pixel").mapInArrow(run, FOOTER)
+
+
 class Catalog:
     """A catalog opened for reading; data are read by Spark, only indexes and footers here."""
 
@@ -76,18 +122,17 @@ class Catalog:
             rows = csv.DictReader(io.StringIO(self._text(INDEX)))
             found = [Partition(int(r["Norder"]), int(r["Npix"])) for r in rows]
         else:
-            paths = [f.path for f in self.fs.get_file_info(pafs.FileSelector(f"{self.root}/{DATASET}", recursive=True, allow_not_found=True))]
-            found = [Partition.parse(p) for p in paths if re.search(PATH, p)]
+            found = list(listed(self.url))
         if not found:
             raise FileNotFoundError(f"{self.url} has no partitions")
         return sorted(found)
 
     def path(self, partition: Partition) -> str:
-        return f"{self.root}/{DATASET}/{partition.relpath}"
+        return f"{self.root}/{DATASET}/{partition.file}"
 
     def uri(self, partition: Partition) -> str:
         """The partition's file as Spark reads it."""
-        return f"file://{self.path(partition)}" if "://" not in self.url else f"{self.url}/{DATASET}/{partition.relpath}"
+        return f"file://{self.path(partition)}" if "://" not in self.url else f"{self.url}/{DATASET}/{partition.file}"
 
     @functools.cached_property
     def arrow_schema(self) -> pa.Schema:
@@ -102,8 +147,7 @@ class Catalog:
 
     def index(self, partitions: Sequence[Partition] | None = None) -> DataFrame:
         """(order, pixel) of the partitions."""
-        rows = [(p.order, p.pixel) for p in (self.partitions if partitions is None else partitions)]
-        return self.spark.createDataFrame(rows, "order int, pixel long")
+        return keys(self.spark, self.partitions if partitions is None else partitions)
 
     def read(self, partitions: Sequence[Partition] | None = None, columns: Sequence[str] | None = None, keys: bool = False) -> DataFrame:
         """Rows of the partitions; keys: with _order, _pixel and _row (place in the file).

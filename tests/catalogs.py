@@ -34,7 +34,7 @@ def row(place: int, i: int, band: str) -> dict:
 def make(root: Path, bad: Partition | None = None) -> Path:
     """Write the catalog without its index; bad: a partition whose images have an unknown band."""
     for place, (p, n) in enumerate(PARTS.items()):
-        path = root / "dataset" / p.relpath
+        path = root / "dataset" / p.file
         path.parent.mkdir(parents=True)
         table = pa.Table.from_pylist([row(place, i, "mystery-q" if p == bad else "des-z") for i in range(n)], SCHEMA)
         pq.write_table(table, path, row_group_size=4)

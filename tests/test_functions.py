@@ -52,17 +52,18 @@ def test_parse(spark, text, key):
     got = spark.range(1).select(layout.parsed(F.lit(text))).first()[0]
     assert (got and tuple(got)) == key
     if key:
-        assert Partition.parse(text) == Partition(*key)
+        assert layout.named(text) == Partition(*key)
     else:
         with pytest.raises(ValueError):
-            Partition.parse(text)
+            layout.named(text)
 
 
 @given(st.integers(0, 29), st.integers(0, 10**9))
 def test_path_round_trip(order, pixel):
     p = Partition(order, pixel)
-    assert Partition.parse(p.relpath) == p == Partition.parse(p.label)
-    assert p.directory % 10_000 == 0 <= pixel - p.directory < 10_000
+    assert layout.named(p.file) == p == layout.named(str(p))
+    folder = layout.values(order, pixel)[1]
+    assert folder % 10_000 == 0 <= pixel - folder < 10_000 and f"/Dir={folder}/" in p.file
 
 
 def test_properties(spark):

@@ -40,7 +40,7 @@ def test_open(spark, source, tmp_path):
 def test_whole_catalog(spark, source, tmp_path):
     out = tmp_path / "out"
     summary = tokenize_catalog(spark, source, out, ["image", "flux_g", "spectrum=DESISpectrum"], row_group_size=4, batch_size=3)
-    assert summary.ok and summary.rows == 22 and len(summary.done) == 3 and summary.finalized
+    assert summary.ok and summary.counts.asDict() == {"done": 3, "skipped": 0, "failed": 0, "rows": 22} and summary.finalized
     made = open_catalog(spark, out)
     assert made.schema.names == ["_healpix_29", "object_id", "ebv", "flux_g", "z_spec", "tok_image", "tok_flux_g", "tok_spectrum_desi"]
     rows = made.read(keys=True).collect()
@@ -53,10 +53,10 @@ def test_whole_catalog(spark, source, tmp_path):
     assert json.loads((out / "tessera.json").read_text())["modalities"][0]["column"] == "image"
     assert "tok_image" in (out / "README.md").read_text() and (out / "partition_info.csv").read_text() == "Norder,Npix\n4,119\n5,1239\n6,15000\n"
     again = tokenize_catalog(spark, source, out, ["image", "flux_g", "spectrum=DESISpectrum"])
-    assert again.rows == 0 and len(again.skipped) == 3 and again.finalized
+    assert again.counts["rows"] == 0 and again.labels("skipped") == [str(p) for p in sorted(catalogs.PARTS)] and again.finalized
     with pytest.raises(ValueError, match="other modalities"):
         tokenize_catalog(spark, source, out, "flux_g")
-    assert tokenize_catalog(spark, source, out, "flux_g", overwrite=True, token_dtype="int32").rows == 22
+    assert tokenize_catalog(spark, source, out, "flux_g", overwrite=True, token_dtype="int32").counts["rows"] == 22
     assert open_catalog(spark, out).schema["tok_flux_g"].dataType.simpleString() == "int"
     stream = tokenize_stream(open_catalog(spark, source), Tokenizer(specs.resolve(open_catalog(spark, source).schema, "flux_g")), str(tmp_path / "s"), str(tmp_path / "c"))
     stream.awaitTermination()
@@ -65,11 +65,11 @@ def test_whole_catalog(spark, source, tmp_path):
 
 def test_limits_and_selection(spark, source, tmp_path):
     s = tokenize_catalog(spark, source, tmp_path / "a", "ebv", max_rows=12)
-    assert s.rows == 12 and s.done == ["Norder=4/Npix=119", "Norder=5/Npix=1239"]
+    assert s.counts["rows"] == 12 and s.labels("done") == ["Norder=4/Npix=119", "Norder=5/Npix=1239"]
     assert open_catalog(spark, tmp_path / "a").read([Partition(5, 1239)]).count() == 2
-    assert tokenize_catalog(spark, source, tmp_path / "a", "ebv").rows == 5  # a shortened partition counts as done
-    assert tokenize_catalog(spark, source, tmp_path / "b", "ebv", max_rows=0).rows == 0
-    assert tokenize_catalog(spark, source, tmp_path / "c", "ebv", partitions=["6/15000", Partition(4, 119)], max_partitions=1).done == ["Norder=4/Npix=119"]
+    assert tokenize_catalog(spark, source, tmp_path / "a", "ebv").counts["rows"] == 5  # a shortened partition counts as done
+    assert tokenize_catalog(spark, source, tmp_path / "b", "ebv", max_rows=0).counts["rows"] == 0
+    assert tokenize_catalog(spark, source, tmp_path / "c", "ebv", partitions=["6/15000", Partition(4, 119)], max_partitions=1).labels("done") == ["Norder=4/Npix=119"]
     for bad in ({"partitions": ["9/9"]}, {"fetch_mode": "none"}, {"rank": 3, "world_size": 2}):
         with pytest.raises(ValueError):
             tokenize_catalog(spark, source, tmp_path / "d", "ebv", **bad)
@@ -77,7 +77,7 @@ def test_limits_and_selection(spark, source, tmp_path):
 
 def test_shares(spark, source, tmp_path, monkeypatch):
     parts = [tokenize_catalog(spark, source, tmp_path / "a", "ebv", rank=r, world_size=2) for r in (0, 1)]
-    assert [len(p.done) for p in parts] == [2, 1] and not any(p.finalized for p in parts)
+    assert [p.counts["done"] for p in parts] == [2, 1] and not any(p.finalized for p in parts)
     monkeypatch.setenv("RANK", "")
     monkeypatch.setenv("SLURM_PROCID", "1")
     monkeypatch.setenv("SLURM_NTASKS", "3")
@@ -86,28 +86,28 @@ def test_shares(spark, source, tmp_path, monkeypatch):
 
 def test_failures(spark, tmp_path):
     root = catalogs.make(tmp_path / "in_legacysurvey", bad=Partition(4, 119))
-    (root / "dataset" / Partition(6, 15000).relpath).write_bytes(b"no parquet")
+    (root / "dataset" / Partition(6, 15000).file).write_bytes(b"no parquet")
     finalize_before = list((tmp_path).glob("*"))
     s = tokenize_catalog(spark, root, tmp_path / "out", ["image", "ebv"])
-    assert set(s.failed) == {"Norder=4/Npix=119", "Norder=6/Npix=15000"} and s.done == ["Norder=5/Npix=1239"] and not s.finalized
-    assert "band" in s.failed["Norder=4/Npix=119"] and finalize_before
+    assert set(s.errors()) == {"Norder=4/Npix=119", "Norder=6/Npix=15000"} and s.labels("done") == ["Norder=5/Npix=1239"] and not s.finalized
+    assert "band" in s.errors()["Norder=4/Npix=119"] and finalize_before
     assert [p.name for p in (tmp_path / "out/dataset").rglob("*") if p.is_file() and not p.name.endswith(".crc")] == ["Npix=1239.parquet"]
-    assert tokenize_catalog(spark, root, tmp_path / "lim", ["image"], max_rows=6).rows == 6  # failed rows don't count
+    assert tokenize_catalog(spark, root, tmp_path / "lim", ["image"], max_rows=6).counts["rows"] == 6  # failed rows don't count
     with pytest.raises(RuntimeError):
         tokenize_catalog(spark, root, tmp_path / "fast", "ebv", fail_fast=True)
 
 
 def test_empty_partition(spark, tmp_path):
     root = catalogs.make(tmp_path / "in")
-    p = root / "dataset" / Partition(5, 1239).relpath
+    p = root / "dataset" / Partition(5, 1239).file
     pq.write_table(pq.read_table(p).slice(0, 0), p)
     s = tokenize_catalog(spark, root, tmp_path / "out", "ebv")
-    assert s.rows == 15 and pq.read_table(tmp_path / "out/dataset" / Partition(5, 1239).relpath).num_rows == 0
+    assert s.counts["rows"] == 15 and pq.read_table(tmp_path / "out/dataset" / Partition(5, 1239).file).num_rows == 0
 
 
 def test_finalize_refuses_mixed_schemas(spark, tmp_path):
     root = catalogs.make(tmp_path / "in")
-    p = root / "dataset" / Partition(6, 15000).relpath
+    p = root / "dataset" / Partition(6, 15000).file
     pq.write_table(pq.read_table(p).drop_columns("ebv"), p)
     with pytest.raises(ValueError, match="another schema"):
         finalize(str(root))
