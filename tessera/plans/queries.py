@@ -7,6 +7,8 @@ The tables hold no images or spectra, so vectors of 64 numbers stand in for spec
 from __future__ import annotations
 
 import functools
+import json
+import re
 import tempfile
 import uuid
 
@@ -16,13 +18,13 @@ from pyspark.sql import types as T
 
 from tessera.functions import bands, layout, properties, shapes
 from tessera.operators import selection
-
 from tessera.operators.tokenizer import ERROR, Tokenizer
 from tessera.plans import job, specs
 from tessera.plans.registry import Modality
 from tessera.plans.specs import Spec
 from tessera.sources import sink
-from tessera.sources.catalog import open_catalog
+from tessera.sources.catalog import normalized, open_catalog
+from tessera.streaming import tokens
 
 PRICE = Modality("Price", "scalar", "tok_price", 1, "l_extendedprice")
 VALUE = Modality("Value", "scalar", "tok_value", 1, "value")
@@ -285,14 +287,100 @@ def detect_specs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(s.column, s.modality.name, s.output, s.drops, s.modality.num_tokens) for s in found], "column string, modality string, token_column string, drops boolean, num_tokens int")
 
 
-def _made(spark: SparkSession, sf: str):
-    """A small catalog of vectors, written and tokenized in a folder that tasks and driver share."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tessera-')}/catalog-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession) -> str:
+    """A new folder that tasks and driver share; a machine's own one only where Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='tessera-')}/catalog-{uuid.uuid4().hex}"
+
+
+def _source(spark: SparkSession, sf: str, bad: bool = False) -> str:
+    """A small catalog of vectors in four partitions; bad: with images, of an unknown band in the third."""
     rows = _spectra(spark, sf).withColumns({"ebv": F.lit(0.05), "_order": F.lit(5), "_pixel": F.col("vec_id") % 4, "_row": F.col("vec_id"), ERROR: F.lit(None).cast("string")})
-    sink.write_partitions(rows, f"{base}/source_desi").collect()
-    sink.finalize(f"{base}/source_desi")
-    summary = job.tokenize_catalog(spark, f"{base}/source_desi", f"{base}/tokens")
-    return summary, open_catalog(spark, f"{base}/tokens")
+    if bad:
+        names = F.array(F.lit("des-g"), F.when(F.col("vec_id") % 4 == 2, "mystery-q").otherwise("des-r"))
+        rows = rows.withColumn("image", F.struct(names.alias("band"), F.array_repeat(F.array_repeat(F.array_repeat(F.lit(0.5).cast("float"), 96), 96), 2).alias("flux")))
+    url = f"{_folder(spark)}/source_desi"
+    sink.write_partitions(rows, url).collect()
+    sink.finalize(url, spark=spark)
+    return url
+
+
+def _made(spark: SparkSession, sf: str):
+    source = _source(spark, sf)
+    summary = job.tokenize_catalog(spark, source, f"{source}-tokens")
+    return summary, open_catalog(spark, f"{source}-tokens")
+
+
+def _told(report: job.Report) -> DataFrame:
+    return report.status.select("pixel", "state", "rows")
+
+
+def first_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of the first rows of the first partition, and of another one."""
+    catalog = open_catalog(spark, _source(spark, sf))
+    return catalog.sample(8).select("vec_id").union(catalog.read_partition(catalog.partitions[2], ["vec_id"], most=3))
+
+
+def limited_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run of a row and a half partition, and the one after it, which leaves the shortened partition as it is."""
+    source = _source(spark, sf)
+    n = _t(spark, sf, "embeddings").filter("vec_id % 4 = 0").count()
+    runs = [job.tokenize_catalog(spark, source, f"{source}-tokens", "ebv", max_rows=m) for m in (n + n // 2, None)]
+    return functools.reduce(DataFrame.union, [_told(r).withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
+
+
+def sharded_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Three shares of one catalog, each its own run."""
+    source = _source(spark, sf)
+    runs = [job.tokenize_catalog(spark, source, f"{source}-tokens", "ebv", rank=r, world_size=3) for r in range(3)]
+    return functools.reduce(DataFrame.union, [_told(r).withColumn("rank", F.lit(i)) for i, r in enumerate(runs)])
+
+
+def failed_run(spark: SparkSession, sf: str) -> DataFrame:
+    """One partition's images are of an unknown band: it fails, the others are made."""
+    source = _source(spark, sf, bad=True)
+    return _told(job.tokenize_catalog(spark, source, f"{source}-tokens", ["image=LegacySurveyImage"], batch_size=16))
+
+
+def provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run says of itself: columns, modalities and settings, also in the card."""
+    _, made = _made(spark, sf)
+    with made.fs.open_input_stream(f"{made.root}/{sink.PROVENANCE}") as f:
+        told = json.loads(f.read())
+    with made.fs.open_input_stream(f"{made.root}/{sink.CARD}") as f:
+        card = f.read().decode()
+    rows = [(m["column"], m["modality"], m["token_column"], m["drop_source"], m["token_column"] in card) for m in told["modalities"]]
+    return spark.createDataFrame(rows, "column string, modality string, token_column string, drop_source boolean, in_card boolean").withColumn("token_dtype", F.lit(told["token_dtype"]))
+
+
+def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog's files as a stream, stopped after some of them and taken up again from its checkpoint."""
+    url = _source(spark, sf)
+    catalog = open_catalog(spark, url)
+    tokenizer = Tokenizer(specs.resolve(catalog.schema, "ebv"))
+    for most in (1, 64):
+        query = tokens.tokenize_stream(catalog, tokenizer, f"{url}-stream", f"{url}-checkpoint", files_at_once=most, **({"once": True} if most == 1 else {"availableNow": True}))
+        query.awaitTermination()
+    return spark.read.parquet(f"{url}-stream").select("vec_id", "tok_ebv")
+
+
+def normalize_source(spark: SparkSession, sf: str) -> DataFrame:
+    given = ["owner/name", "no/such/path", "s3://bucket/key", "single", "owner/na me", f"{sf}/embeddings.parquet"]
+    return spark.createDataFrame([(i, normalized(x).replace(sf, "")) for i, x in enumerate(given)], "position int, source string")
+
+
+def spec_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of users as specs: a pair, a modality whatever its case, a column; or why not."""
+    schema, rows = _schema(spark, sf), []
+    for i, text in enumerate(("a = legacysurveyimage", "desispectrum", "EBV", "flux_g", "Z", "z_spec", "nothing", "x=Nope")):
+        try:
+            spec = specs.parse(text, schema, "survey_desi_decals")
+            rows.append((i, spec.column, spec.modality.name, spec.output, spec.modality.kind))
+        except (ValueError, KeyError) as e:
+            rows.append((i, None, None, type(e).__name__, None))
+    return spark.createDataFrame(rows, "position int, column string, modality string, output string, kind string")
 
 
 def end_to_end_catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -313,6 +401,7 @@ _VECTOR = _BASE.format(_CLEAN)
 _SCALAR = "(round_even(abs({0}::FLOAT::DOUBLE) * 1000, 0) % 4000)::BIGINT"
 _FIRST = f"CASE WHEN vec_id % 7 <> 0 AND vec_id % 5 <> 0 THEN {_VECTOR} END"
 _LINES = "SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, ' '))) AS s FROM documents"
+_PARTS = "SELECT vec_id % 4 AS pixel, count(*) AS n FROM embeddings GROUP BY 1"
 _ODD = "SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'nan'::DOUBLE WHEN 3 THEN 1e300 WHEN 5 THEN '-inf'::DOUBLE WHEN 7 THEN NULL ELSE value END AS value FROM events"
 _OK = "isfinite(try_cast(value AS FLOAT))"
 
@@ -323,6 +412,7 @@ QUERIES = {
         nan_to_num, nested_shape, ragged_flag, shape_groups, spectrum_mask, band_normalize, unknown_band_error, drop_source, token_int32, output_schema,
         partition_relpath, partition_parse, partition_select, partition_missing, shard_round_robin, resume_todo, overwrite_todo, take_rows_prefix, row_groups,
         finalize_summary, orders_present, failed_partitions, run_summary, join_back, properties_parse, detect_specs, end_to_end_catalog, finalize_files,
+        first_rows, limited_run, sharded_runs, failed_run, provenance, stream_tokens, normalize_source, spec_texts,
     )
 }
 
@@ -364,4 +454,12 @@ ORACLE_SQL = {
     "detect_specs": "SELECT * FROM (VALUES ('image', 'LegacySurveyImage', 'tok_image', TRUE, 576), ('spectrum', 'DESISpectrum', 'tok_spectrum_desi', TRUE, 273), ('EBV', 'LegacySurveyEBV', 'tok_ebv', FALSE, 1), ('flux_g', 'LegacySurveyFluxG', 'tok_flux_g', FALSE, 1)) t(\"column\", modality, token_column, drops, num_tokens)",
     "end_to_end_catalog": f"SELECT 5 AS \"order\", vec_id % 4 AS pixel, count(*) AS \"rows\", sum(50)::BIGINT AS ebv_tokens, sum({_VECTOR} % 4096)::BIGINT AS first_tokens FROM embeddings GROUP BY 2",
     "finalize_files": "SELECT name, value::BIGINT AS value FROM (SELECT 'partitions' AS name, count(DISTINCT vec_id % 4) AS value FROM embeddings UNION ALL SELECT 'hats_nrows', count(*) FROM embeddings UNION ALL SELECT 'hats_order', 5 UNION ALL SELECT 'finalized', 1 UNION ALL SELECT 'done', count(DISTINCT vec_id % 4) FROM embeddings)",
+    "first_rows": "SELECT * FROM (SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0 ORDER BY 1 LIMIT 8) UNION ALL SELECT * FROM (SELECT vec_id FROM embeddings WHERE vec_id % 4 = 2 ORDER BY 1 LIMIT 3)",
+    "limited_run": f"WITH p AS ({_PARTS}), n AS (SELECT n + n // 2 AS most FROM p WHERE pixel = 0), t AS (SELECT pixel, n, least(n, greatest(most - coalesce(sum(n) OVER (ORDER BY pixel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0))::BIGINT AS take FROM p, n) SELECT pixel, 'done' AS state, take AS \"rows\", 0 AS run FROM t WHERE take > 0 UNION ALL SELECT pixel, CASE WHEN take > 0 THEN 'skipped' ELSE 'done' END, CASE WHEN take > 0 THEN 0 ELSE n END, 1 FROM t",
+    "sharded_runs": f"SELECT pixel, 'done' AS state, n AS \"rows\", (pixel % 3)::INT AS rank FROM ({_PARTS})",
+    "failed_run": f"SELECT pixel, CASE pixel WHEN 2 THEN 'failed' ELSE 'done' END AS state, CASE pixel WHEN 2 THEN 0 ELSE n END AS \"rows\" FROM ({_PARTS})",
+    "provenance": "SELECT *, 'int64' AS token_dtype FROM (VALUES ('spectrum', 'DESISpectrum', 'tok_spectrum_desi', TRUE, TRUE), ('ebv', 'LegacySurveyEBV', 'tok_ebv', FALSE, TRUE)) t(\"column\", modality, token_column, drop_source, in_card)",
+    "stream_tokens": "SELECT vec_id, 50::BIGINT AS tok_ebv FROM embeddings",
+    "normalize_source": "SELECT * FROM (VALUES (0, 'hf://datasets/owner/name'), (1, 'no/such/path'), (2, 's3://bucket/key'), (3, 'single'), (4, 'owner/na me'), (5, '/embeddings.parquet')) t(position, source)",
+    "spec_texts": "SELECT * FROM (VALUES (0, 'a', 'LegacySurveyImage', 'tok_image', 'image'), (1, 'spectrum', 'DESISpectrum', 'tok_spectrum_desi', 'spectrum'), (2, 'EBV', 'LegacySurveyEBV', 'tok_ebv', 'scalar'), (3, 'flux_g', 'LegacySurveyFluxG', 'tok_flux_g', 'scalar'), (4, NULL, NULL, 'ValueError', NULL), (5, NULL, NULL, 'ValueError', NULL), (6, NULL, NULL, 'ValueError', NULL), (7, NULL, NULL, 'KeyError', NULL)) t(position, \"column\", modality, output, kind)",
 }

@@ -17,9 +17,13 @@ def read_stream(catalog: Catalog, files_at_once: int = 64) -> DataFrame:
     return catalog.spark.readStream.schema(catalog.schema).options(**options).parquet(at)
 
 
-def tokenize_stream(catalog: Catalog, tokenizer: Tokenizer, output: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append tokens of new files to a parquet folder; rows that can't be tokenized keep their _error."""
-    rows = tokenizer.transform(read_stream(catalog), errors="column")
+def tokenize_stream(catalog: Catalog, tokenizer: Tokenizer, output: str, checkpoint: str, files_at_once: int = 64, **trigger) -> StreamingQuery:
+    """Append tokens of new files to a parquet folder; rows that can't be tokenized keep their _error.
+
+    A stream that stops or fails goes on from its checkpoint: files already done are not read again,
+    and what a failed batch had written is not part of the output.
+    """
+    rows = tokenizer.transform(read_stream(catalog, files_at_once), errors="column")
     writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start(output)
 

@@ -105,6 +105,55 @@ def test_empty_partition(spark, tmp_path):
     assert s.counts["rows"] == 15 and pq.read_table(tmp_path / "out/dataset" / Partition(5, 1239).file).num_rows == 0
 
 
+def test_stream_goes_on_after_a_failure(spark, source, tmp_path):
+    """New files only are read after a restart, and a failed batch leaves no rows."""
+    root = catalogs.make(tmp_path / "in")
+    late = root / "dataset" / Partition(6, 15000).file
+    held = late.read_bytes()
+    late.unlink()
+    wanted = specs.resolve(open_catalog(spark, root).schema, "ebv")
+
+    def go(codec=None):
+        tokens = Tokenizer(wanted, codec, batch_rows=4)
+        tokenize_stream(open_catalog(spark, root), tokens, str(tmp_path / "s"), str(tmp_path / "c"), files_at_once=1).awaitTermination()
+        return sorted(r[0] for r in spark.read.parquet(str(tmp_path / "s")).select("object_id").collect())
+
+    first = go()
+    assert len(first) == 17 and go() == first
+    late.write_bytes(held[: len(held) // 2])
+    with pytest.raises(Exception, match="parquet|Parquet|FAILED|length"):
+        go()
+    late.write_bytes(held)
+    assert len(go()) == 22 == len(set(go()))
+
+
+def test_a_codec_with_a_resource(spark, source, tmp_path):
+    """A codec may load what it needs on the driver, and carries it to the tasks."""
+
+    class Lookup:
+        def __init__(self, path):
+            self.path, self.table = path, None
+
+        def validate(self):
+            self.table = json.loads(self.path.read_text())
+
+        def encode(self, batch):
+            return [[self.table[batch.modality.name]]] * len(batch.flux)
+
+    weights = tmp_path / "weights.json"
+    weights.write_text(json.dumps({"LegacySurveyEBV": 41}))
+    assert tokenize_catalog(spark, source, tmp_path / "out", "ebv", codec=Lookup(weights)).counts["rows"] == 22
+    assert {r.tok_ebv for r in open_catalog(spark, tmp_path / "out").read().collect()} == {41}
+    with pytest.raises(FileNotFoundError):  # before any data are read
+        tokenize_catalog(spark, source, tmp_path / "none", "ebv", codec=Lookup(tmp_path / "missing"))
+    assert not (tmp_path / "none").exists()
+
+
+def test_hub_sources_are_refused(spark):
+    with pytest.raises(ValueError, match="hub"):
+        open_catalog(spark, "owner/dataset")
+
+
 def test_finalize_refuses_mixed_schemas(spark, tmp_path):
     root = catalogs.make(tmp_path / "in")
     p = root / "dataset" / Partition(6, 15000).file
