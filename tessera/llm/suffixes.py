@@ -35,7 +35,7 @@ Q = 64
 #: Bytes that the first buckets of a refinement are deep.
 DEPTH = 25
 #: Different runs of a bucket that meet in one task.
-BUCKET = 4096
+BUCKET = 1024
 #: Windows of a text looked at together, and bytes of runs refined together: memory only.
 PIECE, BATCH = 1 << 18, 1 << 20
 _BASE = 0xD6E8FEB86659FD93
