@@ -1,13 +1,16 @@
-"""Near copies by shared word shingles: Jaccard similarity of 5-word shingles of 0.8 and more.
-
-Every distinct set of shingles has BANDS keys, each of ROWS minimum hashes. A pair of similarity s
-shares a key with probability 1 - (1 - s^ROWS)^BANDS, which is 0.999995 at 0.8 and more above it. Keys
-only propose: a link stands where the whole sets of shingles have the similarity, so none is added.
+"""Near copies by SimHash confirmed on whole texts: Jaccard similarity of 5-word shingles of 0.8 and more.
+
+Candidates come from simhash.py: fingerprints of the shingles meet through covering masks, so every pair
+within the radius is proposed. At a similarity of 0.8 a bit of two fingerprints differs with a
+probability of 0.15, 10 of 64 on average, and covering masks for a radius that reaches these pairs
+would number hundreds of thousands. What the radius leaves out is proposed by keys: every distinct set
+of shingles has BANDS of them, each of ROWS minimum hashes, and a pair of similarity s shares one with
+probability 1 - (1 - s^ROWS)^BANDS, 0.999995 at 0.8 and more above it. Proposals of both kinds only
+bring texts together: a link stands where the whole sets of shingles have the similarity.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import letting_go, materialize, prepare
-from tessera.llm.simhash import components, one_of_each, text_hash
+from tessera.llm.common import discard, letting_go, materialize, prepare
+from tessera.llm.simhash import RADIUS, components, fingerprint_links, majority, one_of_each, shingle_hashes, text_hash
 
 SEED = 42
 WORDS = 5
@@ -33,9 +36,7 @@ _MIX = _RANDOM.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of words; one of all words where there are fewer, none without a word."""
-    found = (text or b"").lower().split()  # both are ASCII-only on bytes
-    rows = zip(*(found[i:] for i in range(words)), strict=False) if len(found) >= words else [found] if found else []
-    return np.unique(np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=SEED), map(b" ".join, rows)), np.uint64))
+    return np.unique(shingle_hashes(text, words, SEED))
 
 
 def keys(hashes: np.ndarray) -> np.ndarray:
@@ -49,19 +50,28 @@ def keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, t, sig, n, keys) of every row: hash of the text, hash and size of its set, keys of the set."""
+    """(doc_id, t, sig, n, fp, keys) of every row: hash of the text, hash and size of its set, fingerprint, keys of the set."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t, words) for t in b.column(2).to_pylist()]
+            every = [shingle_hashes(t, words, SEED) for t in b.column(2).to_pylist()]
+            found = [np.unique(h) for h in every]
             sig = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) if len(s) else 0 for s in found], np.uint64).view(np.int64))
             size = pa.array(np.array([len(s) for s in found], np.int64))
+            prints = pa.array([majority(h) for h in every], pa.int64())
             key = pa.array([keys(s) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sig, size, key], ["doc_id", "t", "sig", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sig, size, prints, key], ["doc_id", "t", "sig", "n", "fp", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_hash().alias("t"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lambda batches: letting_go(run(batches)), f"doc_id {kind}, t bigint, sig bigint, n bigint, keys array<bigint>")
+    return docs.select("doc_id", text_hash().alias("t"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lambda batches: letting_go(run(batches)), f"doc_id {kind}, t bigint, sig bigint, n bigint, fp bigint, keys array<bigint>")
+
+
+def by_fingerprint(first: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(sig, n, key) of the distinct sets (sig, n, fp): sets whose fingerprints are linked, by covering masks, share the key."""
+    roots = materialize(components(fingerprint_links(first.select("fp").distinct(), radius)))
+    root = F.shiftrightunsigned(F.coalesce("root", "fp"), 6).bitwiseOR(F.lit(-1 << 58))  # no band has this number
+    return first.join(roots, F.col("fp") == F.col("node"), "left").select("sig", "n", root.alias("key"))
 
 
 def forest(found: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -91,20 +101,22 @@ def forest(found: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, i
     return links
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bucket: int = BUCKET, weight: int = WEIGHT) -> DataFrame:
+def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET, weight: int = WEIGHT) -> DataFrame:
     """(doc_id, t, class) of every row of docs: t is the hash of the text, class names its class of near copies.
 
     Classes are those of links between texts whose sets of shingles have the similarity. Null, empty
-    and wordless texts are one class. Sets that keys connect are compared in one task up to `bucket`
+    and wordless texts are one class. Sets that fingerprints within the radius or keys connect are compared in one task up to `bucket`
     sets and `weight` shingles. More are compared by key instead, and where a key has more, by pairs
     of parts of it; no pair that shares a key goes unseen.
     """
     every = materialize(sets(docs.select("doc_id", "text"), words))
     # Any row of a set stands for it; a null doc_id is found again by the text's hash.
-    first = every.filter("n > 0").groupBy("sig", "n").agg(F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t")).alias("row"))
-    dealt = first.select("sig", "n", F.explode("keys").alias("key")).repartition("key")
-    met = dealt.groupBy("key").agg(F.min("sig").alias("c"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).filter("size > 1")
+    first = materialize(every.filter("n > 0").groupBy("sig", "n").agg(F.first("keys").alias("keys"), F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t")).alias("row")))
+    dealt = materialize(first.select("sig", "n", F.explode("keys").alias("key")).unionByName(by_fingerprint(first, radius)))
+    # Written before it is joined, so both sides are plain exchanges and a hot key's side can be split.
+    met = materialize(dealt.groupBy("key").agg(F.min("sig").alias("c"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).filter("size > 1"))
     shared = materialize(dealt.join(met, "key"))
+    discard(dealt, met)
     roots = components(shared.select(F.greatest("sig", "c").alias("a"), F.least("sig", "c").alias("b")).filter("a != b"))
     members = materialize(shared.select("sig", "n").distinct().join(roots, F.col("sig") == F.col("node")).select("sig", "n", "root"))
     loads = materialize(members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")))

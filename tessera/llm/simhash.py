@@ -29,21 +29,28 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _SHIFT = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash of UTF-8 text; zero where there is no word (null and empty included)."""
+def shingle_hashes(text: bytes | None, words: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of all runs of words of UTF-8 text, repeats included; of all words where there are fewer, none without a word."""
     found = (text or b"").lower().split()  # both are ASCII-only on bytes
-    if not found:
-        return 0
-    rows = zip(*(found[i:] for i in range(words)), strict=False) if len(found) >= words else [found]
-    h = np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=seed), map(b" ".join, rows)), np.uint64)
+    rows = zip(*(found[i:] for i in range(words)), strict=False) if len(found) >= words else [found] if found else []
+    return np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=seed), map(b" ".join, rows)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed number of the bits that over half of the hashes have; zero where there are none."""
     counts = np.zeros(2048, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        counts += np.bincount((h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8) + _SHIFT).ravel(), minlength=2048)
+    for i in range(0, len(hashes), 1 << 16):
+        counts += np.bincount((hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8) + _SHIFT).ravel(), minlength=2048)
     ones = (counts.reshape(8, 256) @ _BITS).ravel()
-    value = int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    value = int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
     return value - (1 << 64) if value >> 63 else value
 
 
+def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
+    """Signed 64-bit SimHash of UTF-8 text; zero where there is no word (null and empty included)."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp) of every row of docs, whole texts."""
     prepare(docs.sparkSession)

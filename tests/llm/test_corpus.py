@@ -11,9 +11,10 @@ import numpy as np
 import pytest
 from catalogs import DATA
 from pyspark.sql import functions as F
+from test_shingles import plain as classes
 from test_text import OURS, ids
 
-from tessera.llm import simhash, suffixes, toxicity
+from tessera.llm import suffixes, toxicity
 
 
 def plain(rows, length=200):
@@ -220,8 +221,8 @@ def test_pipeline(spark):
     clean = stages["toxicity"](spark, docs, str(DATA))
     assert clean.dtypes == docs.dtypes and clean.count() > 0.7 * docs.count()
     apart = stages["near duplicates"](spark, clean, str(DATA))
-    classes = simhash.near_duplicates(clean)
-    assert {r.doc_id for r in apart.collect()} == {r.component_id for r in classes.collect()} and apart.dtypes == docs.dtypes
+    rows = [(r.doc_id, r.text) for r in clean.select("doc_id", "text").collect()]
+    assert {r.doc_id for r in apart.collect()} == {min(rows[i][0] for i in c) for c in classes(rows)} and apart.dtypes == docs.dtypes
     cut = stages["repeated passages"](spark, apart, str(DATA))
     want = {k: kept.decode("utf-8", "ignore") for k, *_, kept in plain([(r.doc_id, r.text.encode()) for r in apart.collect()])}
     rows = cut.collect()

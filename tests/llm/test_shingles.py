@@ -51,6 +51,25 @@ def test_classes(spark, bucket, weight):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and any(len(c) > 2 for c in want)
 
 
+def test_fingerprints_propose(spark):
+    """Sets whose fingerprints are within the radius share a key, by brute force, and no others do."""
+    rows = [(i, t) for i, t in edited()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = shingles.sets(docs).select("sig", "n", "fp").distinct()
+    got: dict = {}
+    for r in shingles.by_fingerprint(first).join(first, "sig").collect():
+        got.setdefault(r.key, set()).add(r.fp & (1 << 64) - 1)
+    prints = {r.fp & (1 << 64) - 1 for r in first.collect()}
+    near = lambda a: {b for b in prints if (a ^ b).bit_count() <= 3}
+    for group in got.values():
+        seen, front = set(), {min(group)}
+        while front:
+            seen |= front
+            front = set().union(*map(near, front)) - seen
+        assert seen == group
+    assert sum(map(len, got.values())) == len(prints)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
 def test_stage(spark):
     """Near copies of 7 and 11 differing fingerprint bits go too."""
