@@ -26,19 +26,19 @@ EXACT = 1 << 16
 
 
 def share_out(sizes: Sequence[int], weights: Sequence[float], total: float, copies: int = COPIES) -> list[float]:
-    """Targets by weight; what stops at copies * size is shared again by weight among the others."""
-    targets, free = [0.0] * len(sizes), set(range(len(sizes)))
-    while free:
-        weight = sum(weights[i] for i in free)
-        over = [i for i in free if total * weights[i] / weight > copies * sizes[i]]
-        if not over:
-            for i in free:
-                targets[i] = total * weights[i] / weight
+    """Targets by weight; what stops at copies * size is shared again by weight among the others.
+
+    In order of what a unit of weight can take, so one pass finds all that stop.
+    """
+    targets, weight = [0.0] * len(sizes), sum(weights)
+    order = sorted(range(len(sizes)), key=lambda i: copies * sizes[i] / weights[i])
+    for k, i in enumerate(order):
+        if total * weights[i] / weight <= copies * sizes[i]:
+            for j in order[k:]:
+                targets[j] = total * weights[j] / weight
             break
-        for i in over:
-            targets[i] = float(copies * sizes[i])
-            free.discard(i)
-        total -= sum(targets[i] for i in over)
+        targets[i] = float(copies * sizes[i])
+        total, weight = total - targets[i], weight - weights[i]
     return targets
 
 

@@ -41,14 +41,21 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.withColumn("valid_to", then).filter("action = 'add'").select("key", "reason", F.col("day").alias("valid_from"), "valid_to")
 
 
+#: Scheme and user of a URL, its host (an address in brackets whole), what follows up to the path, and the path.
+_START, _HOST, _REST, _PATH = r"(?i)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?", r"(\[[^\]/?#]*\]|[^/?#:]*)", r"[^/?#]*", r"([^?#]*)"
+
+
 def keys_of(url: Column, parts: int = PARTS) -> Column:
-    """Every key that a URL falls under: host and parent domains, each alone and with leading path parts."""
-    clean = F.lower(F.regexp_extract(url, r"(?i)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    labels = F.split(clean, r"\.")
+    """Every key that a URL falls under: host and parent domains, each alone and with leading path parts.
+
+    Case is ignored throughout, and a dot at the host's end; an address of numbers has no parents.
+    """
+    host = F.rtrim(F.lower(F.regexp_extract(url, _START + _HOST, 1)), F.lit("."))
+    labels = F.when(host.rlike(r"^\[|^[0-9.]+$"), F.array(host)).otherwise(F.split(host, r"\."))
     hosts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    path = F.filter(F.split(F.lower(F.regexp_extract(url, r"(?i)^\s*[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)), "/"), lambda p: p != "")
+    path = F.filter(F.split(F.lower(F.regexp_extract(url, _START + _HOST + _REST + _PATH, 2)), "/"), lambda p: p != "")
     tails = F.transform(F.sequence(F.lit(0), F.least(F.size(path), F.lit(parts))), lambda n: F.array_join(F.concat(F.array(F.lit("")), F.slice(path, 1, n)), "/"))
-    return F.when(clean != "", F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(tails, lambda t: F.concat(h, t))))))
+    return F.when(host != "", F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(tails, lambda t: F.concat(h, t))))))
 
 
 def judge(captures: DataFrame, entries: DataFrame, parts: int | None = None) -> DataFrame:

@@ -89,6 +89,14 @@ def test_fit_is_exact_on_the_rest():
 
 def test_share_out():
     assert mixing.share_out([10, 100, 100], [3, 1, 2], 315) == pytest.approx([20, 295 / 3, 590 / 3])
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sizes, weights = rng.integers(0, 50, 7).tolist(), rng.integers(1, 4, 7).tolist()
+        total = float(rng.uniform(0, 2 * sum(sizes)))
+        got = mixing.share_out(sizes, weights, total)
+        level = max((t / w for t, w, n in zip(got, weights, sizes, strict=True) if t < 2 * n), default=None)
+        assert sum(got) == pytest.approx(total) and all(t <= 2 * n + 1e-9 for t, n in zip(got, sizes, strict=True))
+        assert level is None or all(t == pytest.approx(min(level * w, 2 * n)) for t, w, n in zip(got, weights, sizes, strict=True))
     assert mixing.share_out([1, 1], [3, 1], 4) == [2, 2] and mixing.share_out([], [], 0) == [] and mixing.share_out([0, 4], [3, 1], 6) == [0, 6]
 
 
@@ -144,6 +152,13 @@ def test_urls(spark):
     assert not urls.judge(df, listed.limit(0)).filter("blocked").count() and urls.judge(df.limit(0), listed).count() == 0
 
 
+def test_urls_of_addresses_ports_and_case(spark):
+    entries = spark.sql("SELECT * FROM VALUES ('[2001:db8::1]/A', date '2024-01-01', 'add', 'six'), ('10.0.0.7', date '2024-01-01', 'add', 'four'), ('0.7', date '2024-01-01', 'add', 'never'), ('Example.com/Big/Path', date '2024-01-01', 'add', 'case') AS t(key, day, action, reason)")
+    pages = ["http://[2001:DB8::1]:8080/a/b", "http://[2001:db8::2]/a", "https://me:pw@10.0.0.7:99/x?y", "http://10.0.0.8/", "ftp://www.EXAMPLE.com.:21/big//PATH/x#f", "http://example.com/big"]
+    df = spark.createDataFrame([(i, u, datetime.date(2024, 5, 1)) for i, u in enumerate(pages)], "capture_id long, url string, fetched date")
+    assert {r.capture_id: r.reasons for r in urls.judge(df, entries).collect()} == {0: "six", 1: "", 2: "four", 3: "", 4: "case", 5: ""}
+
+
 def test_urls_of_deep_keys(spark):
     """A key of any number of path parts is found, and those below it are not."""
     entries = spark.sql("SELECT * FROM VALUES ('example.com/a/b/c/d', date '2024-01-01', 'add', 'deep'), ('b.org', date '2024-01-01', 'add', 'flat') AS t(key, day, action, reason)")
