@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class of near copies: 5-word shingles, similarity 0.8 and more."""
+    """The document of the smallest doc_id of each class of near copies: SimHash of 5-word shingles by covering masks, minimum hashes for what its radius leaves out, similarity 0.8 and more on whole texts."""
     return shingles.near_dedup(docs)
 
 
