@@ -78,5 +78,13 @@ class HashQuantizer:
         base = self.base(self.key(values, kind))
         if n == 1:
             return base
-        bound = F.transform(F.array(base), lambda b: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: (b + i) % self.CODES))
-        return F.get(bound, F.lit(0))
+        zero, top = F.lit(0).cast("long"), F.lit(self.CODES - 1).cast("long")
+
+        def run(b: Column) -> Column:
+            """The tokens from b on; up to CODES of them begin anew once at most, which needs no work for each token."""
+            last = b + (n - 1)
+            if n > self.CODES:
+                return F.transform(F.sequence(b, last), lambda t: t % self.CODES)
+            return F.when(last <= top, F.sequence(b, last)).otherwise(F.concat(F.sequence(b, top), F.sequence(zero, last - self.CODES)))
+
+        return F.get(F.transform(F.array(base), run), F.lit(0))

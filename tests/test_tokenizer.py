@@ -73,6 +73,15 @@ def test_codec_with_a_wrong_number_of_tokens(spark):
     assert "tokens" in Tokenizer([Spec(SCALAR, "x")], Wrong()).transform(df, "column").first()["_error"]
 
 
+@pytest.mark.parametrize("n", [2, 100, 4096, 5000])
+def test_any_number_of_tokens(spark, n):
+    """Tokens begin anew after the last code, in both forms."""
+    many = Modality("P", "spectrum", "tok_p", n)
+    ones = [1.0]
+    one, two, _ = both(spark, [(0, ([3.999], ones, ones)), (1, ([0.0], ones, ones)), (2, ([3.95], ones, ones))], "struct<flux:array<double>,ivar:array<double>,lambda:array<double>>", Spec(many, "x"))
+    assert one == two and [r[1].token for r in one] == [[(b + i) % 4096 for i in range(n)] for b in (3999, 0, 3950)]
+
+
 def test_needs_a_spec():
     with pytest.raises(ValueError):
         Tokenizer([])
