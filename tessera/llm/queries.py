@@ -19,5 +19,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op3_topk_search": topk.ORACLE_SQL,
+    "op6_suffix_dedup": suffixes.ORACLE_SQL,
     "op7_url_filter": urls.ORACLE_SQL,
 }

@@ -289,3 +289,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, bucket: int = BUCKE
 def query(spark, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window's hash counted, on the bytes as hexadecimal digits; runs of windows that repeat become spans.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS m FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {LENGTH - 1})) AS i FROM d WHERE len(x) >= {2 * LENGTH})),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+s AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, TRUE)::INT AS new FROM r),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+p AS (SELECT doc_id, k, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY ALL),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM p GROUP BY doc_id),
+e AS (SELECT d.doc_id, x, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, [0] || coalesce(b, []) AS b, coalesce(a, []) || [len(x) // 2] AS a FROM d LEFT JOIN c ON c.doc_id = d.doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(a) + 1), lambda k: x[2 * b[k] + 1 : 2 * a[k]]), ''))) AS kept_sha256 FROM e"""
