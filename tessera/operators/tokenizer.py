@@ -104,11 +104,12 @@ class Tokenizer:
     def _batches(self, df: DataFrame) -> DataFrame:
         schema = T.StructType([*self.output_schema(df.schema).fields, T.StructField(ERROR, T.StringType())])
         arrow = to_arrow_schema(schema)
-        specs, codec, min_side = self.specs, self.codec, self.min_side
+        specs, codec, min_side, most = self.specs, self.codec, self.min_side, self.batch_rows
+        # Read when a query runs, so that rows of images don't pile up; another frame may have set it anew by then.
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(self.batch_rows))
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in source:
+            for b in (whole.slice(i, most) for whole in source for i in range(0, whole.num_rows, most)):
                 columns = {n: b.column(i) for i, n in enumerate(b.schema.names)}
                 tokens, said = {}, None
                 for s in specs:

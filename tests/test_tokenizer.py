@@ -82,6 +82,21 @@ def test_any_number_of_tokens(spark, n):
     assert one == two and [r[1].token for r in one] == [[(b + i) % 4096 for i in range(n)] for b in (3999, 0, 3950)]
 
 
+def test_frames_of_different_batch_rows(spark):
+    """A codec is given no more rows than its own frame says, whatever another frame has set since."""
+
+    class Most:
+        def validate(self):
+            return None
+
+        def encode(self, batch):
+            return [[len(batch.flux)]] * len(batch.flux)
+
+    df = spark.range(1000).selectExpr("id", "double(id) x").coalesce(1)
+    small, large = (Tokenizer([Spec(SCALAR, "x")], Most(), batch_rows=n).transform(df) for n in (7, 500))
+    assert large.agg({"tok_s": "max"}).first()[0] <= 500 and small.agg({"tok_s": "max"}).first()[0] <= 7
+
+
 def test_needs_a_spec():
     with pytest.raises(ValueError):
         Tokenizer([])
