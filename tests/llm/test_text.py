@@ -185,9 +185,9 @@ def test_main_text_by_ratios(page, text):
         (f"<head><title>x</title><body><article><p>{LONG}</p></article>", LONG.strip()), ("<head><title>x</title>plain text", "plain text"),
         # Class words that say something else, or stand on the article itself.
         (f"<article class='share-price'><p id='skip'>{LONG}</p><div class='ad-hoc'>Some text.</div><div class='ad-box'>Buy!</div></article>", f"{LONG.strip()}\nSome text."),
-        # A menu without a name, of links alone, and one inside of an article.
+        # A menu without a name, of links alone; a list of links in an article is its text, and its navigation is not.
         (f"<div><a href=1>One</a></div><div><a href=2>Two</a></div><div><a href=3>Three</a></div><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG.strip()}\n{LONG.strip()}"),
-        (f"<article><p>{LONG}</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ul><p>Short.</p><p><a href=5>A link between</a></p><p>{LONG}</p></article>", f"{LONG.strip()}\nShort.\nA link between\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ul><nav><a href=6>Up</a></nav><p>Short.</p><p><a href=5>A link between</a></p><p>{LONG}</p></article>", f"{LONG.strip()}\nOne\nTwo\nThree\nFour\nShort.\nA link between\n{LONG.strip()}"),
         (f"<main><nav><p>Contents</p></nav><p>{LONG}</p></main>", LONG.strip()),
         # A marked item ends with the next one.
         (f"<article><p>{LONG}</p><ul><li class=advert>Buy!<li>kept</ul></article>", f"{LONG.strip()}\nkept"),
@@ -200,9 +200,69 @@ def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "inside",
+    ["<svg><title>icon</title></svg>", "<button><div>Go</div></button>", "<span hidden><div>no</div><p>no</p></span>", "<video><p>no</p></video>", "<select><option>1<option>2</select>", "<noscript><p>no</p></noscript>", "<span class=ad><ul><li>no</ul></span>", "<template><table><tr><td>no</table></template>"],
+)
+def test_nothing_is_lost_around_what_is_marked(inside):
+    """Blocks in a marked element neither end the line around it nor take its text along."""
+    assert html.main_text(f"<p>Before {inside} after.</p><p>Next.</p>") == "Before after.\nNext."
+    assert html.main_text(f"<article><ul><li>Before {inside} after.<li>Next.</ul></article>") == "Before after.\nNext."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{LONG}</p></article><article><p>Short.</p></article>", f"{LONG.strip()}\nShort."),
+        (f"<div>An opening.</div><div><p>{LONG}</p><p>{LONG}</p></div><div>A closing.</div>", "\n".join(["An opening.", LONG.strip(), LONG.strip(), "A closing."])),
+        (f"<p>{LONG}</p><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><ul><li>Plain<li><a href=1>one</a></ul>", f"{LONG.strip()}\nPlain\none"),
+        # Adverts, notices and comments inside of an article, by one word of their names.
+        *[(f"<article><p>{LONG}</p><div class='{c}'><p>Gone.</p></div><p>End.</p></article>", f"{LONG.strip()}\nEnd.") for c in ("ad-slot", "ad_300x250", "google-ad", "adsbygoogle", "user-comments", "reader-comments", "cookie-policy")],
+        (f"<article><p>{LONG}</p><p class='cookie-notice'>Gone.</p><span class='x google-ad'>Gone.</span> Stays.</article>", f"{LONG.strip()}\nStays."),
+        (f"<article><p>{LONG}</p></article><section class='reader-comments'><article class=comment><p>Nice!</p></article></section>", LONG.strip()),
+        # Not where the element holds the article, its title or most of the page.
+        (f"<div class='with-sidebar-left'><article><p>{LONG}</p></article></div>", LONG.strip()),
+        (f"<div class='no-comments-yet'><p>{LONG}</p></div><div>End.</div>", f"{LONG.strip()}\nEnd."),
+        ("<div class='no-sidebar-here'><h1>Title</h1></div><div><p>Text of the page, longer than its title.</p></div>", "Title\nText of the page, longer than its title."),
+        # Tags and comments that never end.
+        ("<p>one</p><p>two <a href='x", "one\ntwo"), ("<p>a < b and 3 <4</p>", "a < b and 3 <4"), ("<p>one</p><!-- no end <p>two</p>", "one\nno end\ntwo"),
+    ],
+)
+def test_nothing_else_is_dropped(page, text):
+    assert html.main_text(page) == text
+
+
+def tree(rng, depth: int) -> tuple[str, list[str]]:
+    """A random element of blocks, and its visible lines as a second, plain reader of the same tree would give them."""
+    word = lambda: f"w{rng.integers(0, 1000)}"
+    kind = int(rng.integers(0, 7 if depth else 4))
+    if kind < 2:
+        text, inline = word(), rng.choice(["<b>{}</b>", "<a href=1>{}</a>", "<span>{}</span>", "{}"])
+        gone = rng.choice(["", "<script>x</script>", "<svg><title>x</title></svg>", "<button><p>x</p></button>", "<span class=ad><div>x</div></span>"])
+        other = word()
+        return f"<p>{text} {gone} {inline.format(other)}</p>", [f"{text} {other}"]
+    if kind == 2:
+        return f"<{rng.choice(['aside', 'form', 'footer', 'nav'])}><p>{word()}</p></{'x'}>".replace("</x>", ""), []
+    if kind == 3:
+        items = [word() for _ in range(int(rng.integers(1, 4)))]
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", items
+    parts = [tree(rng, depth - 1) for _ in range(int(rng.integers(1, 4)))]
+    name = rng.choice(["div", "section", "blockquote"])
+    return f"<{name}>" + "".join(p for p, _ in parts) + f"</{name}>", [x for _, lines in parts for x in lines]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_against_a_second_reader(seed):
+    rng = np.random.default_rng(seed)
+    parts = [tree(rng, 3) for _ in range(6)]
+    closed = [re.sub(r"<(aside|form|footer|nav)>(.*?</p>)", r"<\1>\2</\1>", p) for p, _ in parts]
+    assert html.main_text(f"<body><nav><a href=1>x</a></nav><article>{''.join(closed)}</article><footer>x</footer></body>") == "\n".join(x for _, lines in parts for x in lines)
+
+
 def test_stray_and_open_tags_cost_little():
     began = time.process_time()
-    for page in ("<b>" * 20_000 + "</i>" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<div>" + "<i>" * 20_000 + "<hr>" * 20_000):
+    broken = ["<a <b ", "<!-- x> ", "<![CDATA[ ]>", "</a ", "<a x='", "<a x=\"> ", "<!a"]
+    for page in (*(x * 20_000 for x in broken), "<b>" * 20_000 + "</i>" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<div>" + "<i>" * 20_000 + "<hr>" * 20_000):
         html.main_text(page)
     assert time.process_time() - began < 10
 
