@@ -344,6 +344,18 @@ def failed_run(spark: SparkSession, sf: str) -> DataFrame:
     return _told(job.tokenize_catalog(spark, source, f"{source}-tokens", ["image=LegacySurveyImage"], batch_size=16))
 
 
+def damaged_run(spark: SparkSession, sf: str) -> DataFrame:
+    """One partition's file is overwritten in its middle: it fails by the rows that can't be read, the others are made."""
+    source = _source(spark, sf)
+    catalog = open_catalog(spark, source)
+    path = catalog.path(catalog.partitions[2])
+    with catalog.fs.open_input_file(path) as f:
+        held = f.read()
+    with catalog.fs.open_output_stream(path) as f:
+        f.write(held[:40] + bytes(1000) + held[1040:])
+    return _told(job.tokenize_catalog(spark, catalog, f"{source}-tokens"))
+
+
 def provenance(spark: SparkSession, sf: str) -> DataFrame:
     """What a run says of itself: columns, modalities and settings, also in the card."""
     _, made = _made(spark, sf)
@@ -367,20 +379,24 @@ def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalize_source(spark: SparkSession, sf: str) -> DataFrame:
-    given = ["owner/name", "no/such/path", "s3://bucket/key", "single", "owner/na me", f"{sf}/embeddings.parquet"]
-    return spark.createDataFrame([(i, normalized(x).replace(sf, "")) for i, x in enumerate(given)], "position int, source string")
+    """What the sources of the documents would name: datasets of a hub, stores, paths. There are a few hundred names at most."""
+    names = [tuple(r) for r in _t(spark, sf, "documents").select("source", "lang").distinct().collect()]
+    forms = ("{0}/{1}", "{0}/{1}/x", "s3://{0}/{1}", "{0}", "{0}/{1} x")
+    return spark.createDataFrame([(a, b, i, normalized(form.format(a, b))) for a, b in names for i, form in enumerate(forms)], "source string, lang string, form int, url string")
 
 
 def spec_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of users as specs: a pair, a modality whatever its case, a column; or why not."""
-    schema, rows = _schema(spark, sf), []
-    for i, text in enumerate(("a = legacysurveyimage", "desispectrum", "EBV", "flux_g", "Z", "z_spec", "nothing", "x=Nope")):
-        try:
-            spec = specs.parse(text, schema, "survey_desi_decals")
-            rows.append((i, spec.column, spec.modality.name, spec.output, spec.modality.kind))
-        except (ValueError, KeyError) as e:
-            rows.append((i, None, None, type(e).__name__, None))
-    return spark.createDataFrame(rows, "position int, column string, modality string, output string, kind string")
+    """Texts of users as specs, on a table that has a number for each source of the documents: a pair, a modality whatever its case, what there is not."""
+    sources = [r[0] for r in _t(spark, sf, "documents").select("source").distinct().collect()]
+    schema, rows = T.StructType([T.StructField(x, T.DoubleType()) for x in sources]), []
+    for x in sources:
+        for i, text in enumerate((f"{x} = legacysurveyebv", f"{x}=Z", x, f"{x}=Nope", f"{x} = desispectrum ")):
+            try:
+                spec = specs.parse(text, schema, "survey_desi_decals")
+                rows.append((x, i, spec.modality.name, spec.output))
+            except (ValueError, KeyError) as e:
+                rows.append((x, i, None, type(e).__name__))
+    return spark.createDataFrame(rows, "source string, form int, modality string, output string")
 
 
 def end_to_end_catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -412,7 +428,7 @@ QUERIES = {
         nan_to_num, nested_shape, ragged_flag, shape_groups, spectrum_mask, band_normalize, unknown_band_error, drop_source, token_int32, output_schema,
         partition_relpath, partition_parse, partition_select, partition_missing, shard_round_robin, resume_todo, overwrite_todo, take_rows_prefix, row_groups,
         finalize_summary, orders_present, failed_partitions, run_summary, join_back, properties_parse, detect_specs, end_to_end_catalog, finalize_files,
-        first_rows, limited_run, sharded_runs, failed_run, provenance, stream_tokens, normalize_source, spec_texts,
+        first_rows, limited_run, sharded_runs, failed_run, damaged_run, provenance, stream_tokens, normalize_source, spec_texts,
     )
 }
 
@@ -458,8 +474,9 @@ ORACLE_SQL = {
     "limited_run": f"WITH p AS ({_PARTS}), n AS (SELECT n + n // 2 AS most FROM p WHERE pixel = 0), t AS (SELECT pixel, n, least(n, greatest(most - coalesce(sum(n) OVER (ORDER BY pixel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0))::BIGINT AS take FROM p, n) SELECT pixel, 'done' AS state, take AS \"rows\", 0 AS run FROM t WHERE take > 0 UNION ALL SELECT pixel, CASE WHEN take > 0 THEN 'skipped' ELSE 'done' END, CASE WHEN take > 0 THEN 0 ELSE n END, 1 FROM t",
     "sharded_runs": f"SELECT pixel, 'done' AS state, n AS \"rows\", (pixel % 3)::INT AS rank FROM ({_PARTS})",
     "failed_run": f"SELECT pixel, CASE pixel WHEN 2 THEN 'failed' ELSE 'done' END AS state, CASE pixel WHEN 2 THEN 0 ELSE n END AS \"rows\" FROM ({_PARTS})",
+    "damaged_run": f"SELECT pixel, CASE pixel WHEN 2 THEN 'failed' ELSE 'done' END AS state, CASE pixel WHEN 2 THEN 0 ELSE n END AS \"rows\" FROM ({_PARTS})",
     "provenance": "SELECT *, 'int64' AS token_dtype FROM (VALUES ('spectrum', 'DESISpectrum', 'tok_spectrum_desi', TRUE, TRUE), ('ebv', 'LegacySurveyEBV', 'tok_ebv', FALSE, TRUE)) t(\"column\", modality, token_column, drop_source, in_card)",
     "stream_tokens": "SELECT vec_id, 50::BIGINT AS tok_ebv FROM embeddings",
-    "normalize_source": "SELECT * FROM (VALUES (0, 'hf://datasets/owner/name'), (1, 'no/such/path'), (2, 's3://bucket/key'), (3, 'single'), (4, 'owner/na me'), (5, '/embeddings.parquet')) t(position, source)",
-    "spec_texts": "SELECT * FROM (VALUES (0, 'a', 'LegacySurveyImage', 'tok_image', 'image'), (1, 'spectrum', 'DESISpectrum', 'tok_spectrum_desi', 'spectrum'), (2, 'EBV', 'LegacySurveyEBV', 'tok_ebv', 'scalar'), (3, 'flux_g', 'LegacySurveyFluxG', 'tok_flux_g', 'scalar'), (4, NULL, NULL, 'ValueError', NULL), (5, NULL, NULL, 'ValueError', NULL), (6, NULL, NULL, 'ValueError', NULL), (7, NULL, NULL, 'KeyError', NULL)) t(position, \"column\", modality, output, kind)",
+    "normalize_source": "SELECT source, lang, form, CASE form WHEN 0 THEN 'hf://datasets/' || source || '/' || lang WHEN 1 THEN source || '/' || lang || '/x' WHEN 2 THEN 's3://' || source || '/' || lang WHEN 3 THEN source ELSE source || '/' || lang || ' x' END AS url FROM (SELECT DISTINCT source, lang FROM documents), (SELECT unnest(range(5))::INT AS form)",
+    "spec_texts": "SELECT source, form, CASE form WHEN 0 THEN 'LegacySurveyEBV' WHEN 1 THEN 'Z' WHEN 4 THEN 'DESISpectrum' END AS modality, CASE form WHEN 0 THEN 'tok_ebv' WHEN 1 THEN 'tok_z' WHEN 2 THEN 'ValueError' WHEN 3 THEN 'KeyError' ELSE 'tok_spectrum_desi' END AS output FROM (SELECT DISTINCT source FROM documents), (SELECT unnest(range(5))::INT AS form)",
 }

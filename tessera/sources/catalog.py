@@ -87,6 +87,31 @@ def footers(url: str, partitions: DataFrame, whole: bool = False) -> DataFrame:
     return partitions.select("order", "pixel").mapInArrow(run, FOOTER)
 
 
+def faults(url: str, partitions: DataFrame, schema: pa.Schema) -> DataFrame:
+    """(order, pixel, error) of partitions (order, pixel): why a file can't be read as the schema, null where it can; read by tasks."""
+
+    def why(path: str, fs: pafs.FileSystem) -> str | None:
+        try:
+            with pq.ParquetFile(fs.open_input_file(path)) as f:
+                if lacking := [c for c in schema.names if c not in f.schema_arrow.names]:
+                    return f"no column {', '.join(lacking)}"
+                if other := [f"{c} is {f.schema_arrow.field(c).type}, not {schema.field(c).type}" for c in schema.names if f.schema_arrow.field(c).type != schema.field(c).type]:
+                    return "; ".join(other)
+                for _ in f.iter_batches(1024, columns=schema.names):
+                    pass
+        except Exception as e:  # noqa: BLE001  whatever a damaged file raises is the answer
+            return f"{type(e).__name__}: {e}"
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(url)
+        for b in batches:
+            told = [why(f"{root}/{DATASET}/{p.file}", fs) for p in map(Partition, b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(told, pa.string())], ["order", "pixel", "error"])
+
+    return partitions.select("order", "pixel").mapInArrow(run, "order int, pixel bigint, error string")
+
+
 class Catalog:
     """A catalog opened for reading; data are read by Spark, only indexes and footers here."""
 
@@ -149,10 +174,11 @@ class Catalog:
         """(order, pixel) of the partitions."""
         return keys(self.spark, self.partitions if partitions is None else partitions)
 
-    def read(self, partitions: Sequence[Partition] | None = None, columns: Sequence[str] | None = None, keys: bool = False) -> DataFrame:
+    def read(self, partitions: Sequence[Partition] | None = None, columns: Sequence[str] | None = None, keys: bool = False, damaged: bool = False) -> DataFrame:
         """Rows of the partitions; keys: with _order, _pixel and _row (place in the file).
 
-        Files are named one by one, so no column is taken from folder names.
+        Files are named one by one, so no column is taken from folder names. damaged: a file that can't be read
+        gives the rows before the fault only, and what reads them must count them.
         """
         chosen = self.partitions if partitions is None else list(partitions)
         fields = self.schema.names if columns is None else list(columns)
@@ -160,7 +186,7 @@ class Catalog:
         if not chosen:
             df = self.spark.createDataFrame([], schema)
             return df.selectExpr("*", "0 _order", "0L _pixel", "0L _row") if keys else df
-        df = self.spark.read.schema(schema).parquet(*[self.uri(p) for p in chosen])
+        df = self.spark.read.schema(schema).option("ignoreCorruptFiles", str(damaged).lower()).parquet(*[self.uri(p) for p in chosen])
         if not keys:
             return df
         part = lambda i, t: F.regexp_extract("_metadata.file_path", PATH, i).cast(t)

@@ -176,3 +176,40 @@ def test_take_rows(spark):
     assert [r.take for r in selection.take_rows(df, 12).orderBy("order").collect()] == [10, 2]
     assert [r.take for r in selection.take_rows(df, None).orderBy("order").collect()] == [10, 7, 5]
     assert selection.take_rows(df, 0).count() == 0
+
+
+@pytest.mark.parametrize("harm", ["page", "type", "gone", "cut"])
+def test_a_damaged_file_fails_alone(spark, tmp_path, harm):
+    """A broken page, a column of another type, a file that goes and one without its end: the other partitions are made."""
+    root = catalogs.make(tmp_path / "in")
+    p = root / "dataset" / Partition(5, 1239).file
+    whole = p.read_bytes()
+    if harm == "page":
+        p.write_bytes(whole[:40] + bytes(len(whole[40:4000])) + whole[4000:])
+    elif harm == "type":
+        t = pq.read_table(p)
+        pq.write_table(t.set_column(t.schema.get_field_index("ebv"), "ebv", t["object_id"]), p)
+    elif harm == "cut":
+        p.write_bytes(whole[: len(whole) // 2])
+    catalog = open_catalog(spark, root)
+    assert len(catalog.partitions) == 3
+    if harm == "gone":
+        p.unlink()
+    s = tokenize_catalog(spark, catalog, tmp_path / "out", ["image", "ebv"])
+    assert s.labels("done") == ["Norder=4/Npix=119", "Norder=6/Npix=15000"] and s.labels("failed") == ["Norder=5/Npix=1239"] and s.counts["rows"] == 15
+    assert not s.finalized and not (tmp_path / "out/dataset" / Partition(5, 1239).file).exists()
+    said = s.errors()["Norder=5/Npix=1239"]
+    assert {"page": "0 of 7 rows could be read: ", "type": "ebv is string, not float", "gone": "Error", "cut": "ArrowInvalid"}[harm] in said
+    p.write_bytes(whole)
+    again = tokenize_catalog(spark, root, tmp_path / "out", ["image", "ebv"])
+    assert again.labels("done") == ["Norder=5/Npix=1239"] and again.finalized and len(again.labels("skipped")) == 2
+
+
+def test_lost_provenance(spark, source, tmp_path):
+    """Without it, the files themselves tell whether they are of the same modalities."""
+    tokenize_catalog(spark, source, tmp_path / "out", "ebv")
+    (tmp_path / "out/tessera.json").unlink()
+    with pytest.raises(ValueError, match="other modalities"):
+        tokenize_catalog(spark, source, tmp_path / "out", "flux_g")
+    assert tokenize_catalog(spark, source, tmp_path / "out", "ebv", row_group_size=7).labels("skipped")
+    assert json.loads((tmp_path / "out/tessera.json").read_text())["asked"] == {"row_group_size": 7}
