@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -15,6 +17,10 @@ PER_FOLDER = 10_000
 ENDING = ".parquet"
 
 
+#: Order of the keys that rows are sorted by; a partition is a range of them.
+DEEPEST = 29
+
+
 def _template(*levels: str) -> str:
     return "/".join(f"{level}=%d" for level in levels)
 
@@ -68,3 +74,15 @@ def parsed(text: Column) -> Column:
         return F.when(text.rlike(pattern), F.struct(part(order, "int").alias("order"), part(pixel, "long").alias("pixel")))
 
     return F.coalesce(*[by(*form) for form in FORMS])
+
+
+def overlapping(partitions: Sequence[Partition], ranges: Sequence[tuple[int, int]]) -> list[Partition]:
+    """Of a catalog's partitions, each a range of keys itself, those that meet one of the ranges (in order, apart from each other)."""
+    firsts, lasts = ([r[i] for r in ranges] for i in (0, 1))
+
+    def meets(p: Partition) -> bool:
+        low, high = (p.pixel + i << 2 * (DEEPEST - p.order) for i in (0, 1))
+        i = bisect.bisect_left(lasts, low)
+        return i < len(firsts) and firsts[i] < high
+
+    return [p for p in partitions if meets(p)]

@@ -8,9 +8,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +16,9 @@ from pyspark.sql import types as T
 from tessera.functions import bands, layout, properties, shapes
 from tessera.operators import selection
 from tessera.operators.tokenizer import ERROR, Tokenizer
-from tessera.plans import job, specs
+from tessera.plans import job, sky_queries, specs
 from tessera.plans.registry import Modality
+from tessera.plans.shared import folder, table
 from tessera.plans.specs import Spec
 from tessera.sources import sink
 from tessera.sources.catalog import normalized, open_catalog
@@ -34,15 +32,11 @@ MANY = Modality("VectorMany", "spectrum", "tok_vector", 16)
 BLOCK = Modality("Block", "image", "tok_block", 8, prefix="DES")
 
 
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def _spectra(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors as spectra; ivar is the vector itself, so its negative parts are masked."""
     e = F.col("embedding")
     spectrum = F.struct(e.alias("flux"), e.alias("ivar"), F.transform(e, lambda x, i: i.cast("float")).alias("wavelength"))
-    return _t(spark, sf, "embeddings").select("vec_id", spectrum.alias("spectrum"))
+    return table(spark, sf, "embeddings").select("vec_id", spectrum.alias("spectrum"))
 
 
 def _cube(e: Column, side: int) -> Column:
@@ -56,17 +50,17 @@ def _images(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors as four bands of 4 x 4; every fifth has a label too few, every seventh is null."""
     names = F.when(F.col("vec_id") % 5 == 0, F.array(*map(F.lit, ("des-g", "des-r", "des-i")))).otherwise(F.array(*map(F.lit, ("des-g", "des_r", "I", "z"))))
     image = F.when(F.col("vec_id") % 7 != 0, F.struct(names.alias("band"), _cube(F.col("embedding"), 4).alias("flux")))
-    return _t(spark, sf, "embeddings").select("vec_id", image.alias("image"))
+    return table(spark, sf, "embeddings").select("vec_id", image.alias("image"))
 
 
 def _lists(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as lines of words."""
-    return _t(spark, sf, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")).alias("x"))
+    return table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")).alias("x"))
 
 
 def _keys(spark: SparkSession, sf: str) -> DataFrame:
     """Partitions made of orders: order 4 to 6, pixel the customer."""
-    return _t(spark, sf, "orders").select((F.col("o_orderkey") % 3 + 4).cast("int").alias("order"), F.col("o_custkey").alias("pixel")).distinct()
+    return table(spark, sf, "orders").select((F.col("o_orderkey") % 3 + 4).cast("int").alias("order"), F.col("o_custkey").alias("pixel")).distinct()
 
 
 KEYS = "SELECT DISTINCT (o_orderkey % 3 + 4)::INT AS \"order\", o_custkey AS pixel FROM orders"
@@ -74,7 +68,7 @@ KEYS = "SELECT DISTINCT (o_orderkey % 3 + 4)::INT AS \"order\", o_custkey AS pix
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
     """Sales as rows of partitions by supplier."""
-    return _t(spark, sf, "lineitem").select((F.col("l_suppkey") % 3 + 4).cast("int").alias("order"), F.col("l_suppkey").alias("pixel"), "l_orderkey", "l_linenumber")
+    return table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3 + 4).cast("int").alias("order"), F.col("l_suppkey").alias("pixel"), "l_orderkey", "l_linenumber")
 
 
 ROWS = "SELECT (l_suppkey % 3 + 4)::INT AS \"order\", l_suppkey AS pixel, l_orderkey, l_linenumber FROM lineitem"
@@ -87,11 +81,11 @@ def _counted(spark: SparkSession, sf: str) -> DataFrame:
 def _odd_values(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id") % 10
     odd = F.when(i == 1, float("nan")).when(i == 3, 1e300).when(i == 5, float("-inf")).when(i == 7, F.lit(None)).otherwise(F.col("value"))
-    return _t(spark, sf, "events").select("event_id", odd.alias("value"))
+    return table(spark, sf, "events").select("event_id", odd.alias("value"))
 
 
 def scalar_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return Tokenizer([Spec(PRICE, "l_extendedprice", drop_source=True)]).transform(rows)
 
 
@@ -128,7 +122,7 @@ def image_min_size(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("embedding")
     flux = F.when(F.col("vec_id") % 3 == 0, _cube(e, 8)).otherwise(_cube(e, 4))
     names = F.slice(F.array(*map(F.lit, ("des-g", "des-r", "des-i", "des-z"))), 1, F.size(flux))
-    rows = _t(spark, sf, "embeddings").select("vec_id", F.struct(names.alias("bands"), flux.alias("flux")).alias("image"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.struct(names.alias("bands"), flux.alias("flux")).alias("image"))
     return Tokenizer([Spec(BLOCK, "image")], min_side=5).transform(rows).select("vec_id", F.col("tok_block").isNotNull().alias("has_tokens"))
 
 
@@ -165,28 +159,28 @@ def spectrum_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def band_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "events").select("event_id", bands.normalized(F.col("event_type"), "DES").alias("band"))
+    return table(spark, sf, "events").select("event_id", bands.normalized(F.col("event_type"), "DES").alias("band"))
 
 
 def unknown_band_error(spark: SparkSession, sf: str) -> DataFrame:
     """Images of a band that no survey has are errors, not null tokens."""
     names = F.array(F.lit("des-g"), F.lit("r"), F.lit("des-z"), F.when(F.col("vec_id") % 11 == 0, F.lit("jwst-f200w")).otherwise(F.lit("des-i")))
-    rows = _t(spark, sf, "embeddings").select("vec_id", F.struct(names.alias("band"), _cube(F.col("embedding"), 4).alias("flux")).alias("image"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.struct(names.alias("band"), _cube(F.col("embedding"), 4).alias("flux")).alias("image"))
     return Tokenizer([Spec(BLOCK, "image")], min_side=4).transform(rows, errors="column").select("vec_id", F.col(ERROR).isNotNull().alias("failed"), F.col("tok_block").isNotNull().alias("has_tokens"))
 
 
 def drop_source(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     return Tokenizer([Spec(TOTAL, "o_totalprice", "total", True)]).transform(rows)
 
 
 def token_int32(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return Tokenizer([Spec(TOTAL, "o_totalprice")], number="int32").transform(rows)
 
 
 def output_schema(spark: SparkSession, sf: str) -> DataFrame:
-    schema = _t(spark, sf, "orders").schema
+    schema = table(spark, sf, "orders").schema
     made = specs.output_schema(schema, [Spec(TOTAL, "o_totalprice", drop_source=True)])
     return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(made.fields)], "position int, name string, type string")
 
@@ -249,7 +243,7 @@ def _status(spark: SparkSession, sf: str) -> DataFrame:
     """A run over vectors dealt to 20 partitions, of which two have images of an unknown band."""
     odd = F.when(F.col("vec_id").isin(45, 107), F.lit("mystery-q")).otherwise(F.lit("des-i"))
     names = F.array(F.lit("des-g"), F.lit("des-r"), F.lit("des-z"), odd)
-    rows = _t(spark, sf, "embeddings").select("vec_id", F.struct(names.alias("band"), _cube(F.col("embedding"), 4).alias("flux")).alias("image"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.struct(names.alias("band"), _cube(F.col("embedding"), 4).alias("flux")).alias("image"))
     made = Tokenizer([Spec(BLOCK, "image")], min_side=4).transform(rows, errors="column")
     by = made.groupBy(F.lit(5).alias("order"), (F.col("vec_id") % 20).alias("pixel")).agg(F.count(F.lit(1)).alias("rows"), F.max(ERROR).alias("error"))
     return by.withColumn("state", F.when(F.col("pixel") % 4 == 0, "skipped").when(F.col("error").isNotNull(), "failed").otherwise("done"))
@@ -268,13 +262,13 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def join_back(spark: SparkSession, sf: str) -> DataFrame:
     tokens = vector_tokens(spark, sf)
-    return tokens.join(_t(spark, sf, "embeddings").select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("tok_vector").alias("tokens"))
+    return tokens.join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("tok_vector").alias("tokens"))
 
 
 def properties_parse(spark: SparkSession, sf: str) -> DataFrame:
     """The queries of URLs as properties lines."""
     text = F.concat(F.lit("#title\n"), F.translate(F.regexp_extract("url", r"\?([^#]*)", 1), "&", "\n"))
-    return _t(spark, sf, "pages").select("page_id", F.inline(properties.pairs(text)))
+    return table(spark, sf, "pages").select("page_id", F.inline(properties.pairs(text)))
 
 
 def _schema(spark: SparkSession, sf: str) -> T.StructType:
@@ -287,21 +281,13 @@ def detect_specs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(s.column, s.modality.name, s.output, s.drops, s.modality.num_tokens) for s in found], "column string, modality string, token_column string, drops boolean, num_tokens int")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that tasks and driver share; a machine's own one only where Spark is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='tessera-')}/catalog-{uuid.uuid4().hex}"
-
-
 def _source(spark: SparkSession, sf: str, bad: bool = False) -> str:
     """A small catalog of vectors in four partitions; bad: with images, of an unknown band in the third."""
     rows = _spectra(spark, sf).withColumns({"ebv": F.lit(0.05), "_order": F.lit(5), "_pixel": F.col("vec_id") % 4, "_row": F.col("vec_id"), ERROR: F.lit(None).cast("string")})
     if bad:
         names = F.array(F.lit("des-g"), F.when(F.col("vec_id") % 4 == 2, "mystery-q").otherwise("des-r"))
         rows = rows.withColumn("image", F.struct(names.alias("band"), F.array_repeat(F.array_repeat(F.array_repeat(F.lit(0.5).cast("float"), 96), 96), 2).alias("flux")))
-    url = f"{_folder(spark)}/source_desi"
+    url = f"{folder(spark)}/source_desi"
     sink.write_partitions(rows, url).collect()
     sink.finalize(url, spark=spark)
     return url
@@ -326,7 +312,7 @@ def first_rows(spark: SparkSession, sf: str) -> DataFrame:
 def limited_run(spark: SparkSession, sf: str) -> DataFrame:
     """A run of a row and a half partition, and the one after it, which leaves the shortened partition as it is."""
     source = _source(spark, sf)
-    n = _t(spark, sf, "embeddings").filter("vec_id % 4 = 0").count()
+    n = table(spark, sf, "embeddings").filter("vec_id % 4 = 0").count()
     runs = [job.tokenize_catalog(spark, source, f"{source}-tokens", "ebv", max_rows=m) for m in (n + n // 2, None)]
     return functools.reduce(DataFrame.union, [_told(r).withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
 
@@ -380,14 +366,14 @@ def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def normalize_source(spark: SparkSession, sf: str) -> DataFrame:
     """What the sources of the documents would name: datasets of a hub, stores, paths. There are a few hundred names at most."""
-    names = [tuple(r) for r in _t(spark, sf, "documents").select("source", "lang").distinct().collect()]
+    names = [tuple(r) for r in table(spark, sf, "documents").select("source", "lang").distinct().collect()]
     forms = ("{0}/{1}", "{0}/{1}/x", "s3://{0}/{1}", "{0}", "{0}/{1} x")
     return spark.createDataFrame([(a, b, i, normalized(form.format(a, b))) for a, b in names for i, form in enumerate(forms)], "source string, lang string, form int, url string")
 
 
 def spec_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of users as specs, on a table that has a number for each source of the documents: a pair, a modality whatever its case, what there is not."""
-    sources = [r[0] for r in _t(spark, sf, "documents").select("source").distinct().collect()]
+    sources = [r[0] for r in table(spark, sf, "documents").select("source").distinct().collect()]
     schema, rows = T.StructType([T.StructField(x, T.DoubleType()) for x in sources]), []
     for x in sources:
         for i, text in enumerate((f"{x} = legacysurveyebv", f"{x}=Z", x, f"{x}=Nope", f"{x} = desispectrum ")):
@@ -480,3 +466,6 @@ ORACLE_SQL = {
     "normalize_source": "SELECT source, lang, form, CASE form WHEN 0 THEN 'hf://datasets/' || source || '/' || lang WHEN 1 THEN source || '/' || lang || '/x' WHEN 2 THEN 's3://' || source || '/' || lang WHEN 3 THEN source ELSE source || '/' || lang || ' x' END AS url FROM (SELECT DISTINCT source, lang FROM documents), (SELECT unnest(range(5))::INT AS form)",
     "spec_texts": "SELECT source, form, CASE form WHEN 0 THEN 'LegacySurveyEBV' WHEN 1 THEN 'Z' WHEN 4 THEN 'DESISpectrum' END AS modality, CASE form WHEN 0 THEN 'tok_ebv' WHEN 1 THEN 'tok_z' WHEN 2 THEN 'ValueError' WHEN 3 THEN 'KeyError' ELSE 'tok_spectrum_desi' END AS output FROM (SELECT DISTINCT source FROM documents), (SELECT unnest(range(5))::INT AS form)",
 }
+
+QUERIES |= sky_queries.QUERIES
+ORACLE_SQL |= sky_queries.ORACLE_SQL

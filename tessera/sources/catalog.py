@@ -54,6 +54,19 @@ def listed(url: str) -> dict[Partition, int]:
     return dict(sorted((named(f.path), f.size) for f in files if f.type == pafs.FileType.File and re.search(PATH, f.path)))
 
 
+def indexed(url: str) -> list[Partition]:
+    """A catalog's partitions in order, from its index file if there is one, else from the files' names."""
+    fs, root = filesystem(url)
+    if fs.get_file_info(f"{root}/{INDEX}").type == pafs.FileType.File:
+        with fs.open_input_stream(f"{root}/{INDEX}") as f:
+            found = [Partition(int(r["Norder"]), int(r["Npix"])) for r in csv.DictReader(io.StringIO(f.read().decode()))]
+    else:
+        found = list(listed(url))
+    if not found:
+        raise FileNotFoundError(f"{url} has no partitions")
+    return sorted(found)
+
+
 def keys(spark: SparkSession, partitions: Sequence[Partition]) -> DataFrame:
     """(order, pixel) of the partitions."""
     return spark.createDataFrame([tuple(p) for p in partitions], "order int, pixel long")
@@ -143,14 +156,7 @@ class Catalog:
     @functools.cached_property
     def partitions(self) -> list[Partition]:
         """In order, from the index file if there is one, else from the files' names."""
-        if self._exists(INDEX):
-            rows = csv.DictReader(io.StringIO(self._text(INDEX)))
-            found = [Partition(int(r["Norder"]), int(r["Npix"])) for r in rows]
-        else:
-            found = list(listed(self.url))
-        if not found:
-            raise FileNotFoundError(f"{self.url} has no partitions")
-        return sorted(found)
+        return indexed(self.url)
 
     def path(self, partition: Partition) -> str:
         return f"{self.root}/{DATASET}/{partition.file}"
