@@ -1,11 +1,11 @@
 """Quality rules with thresholds that follow the corpus, in DataFrame functions alone.
 
-Each text has a few counts and four rates in per cent. A log-linear histogram of every rate, per
-language and source, is a quantile sketch that merges by adding counts: bin edges are fixed, so
-partial sketches of any rows add up to the sketch of all rows, on reruns too. A rule's threshold is
-the group's upper quantile plus a multiple of its distance from the lower one. No threshold is a fixed
-number: quantiles of small groups are drawn towards those of their language's merged sketch. The
-documents are then joined to their group's thresholds.
+Each text has a few counts and four rates in per cent. A log-linear histogram of every rate, per language and source, is a
+quantile sketch that merges by adding counts: bin edges are fixed, so partial sketches of any rows add up to the sketch of all
+rows, on reruns too. Rates that every text has are cut at the group's upper quantile plus a multiple of its distance from
+the lower one. Symbols, which most texts lack, are cut where the sketch falls into two clusters: at the middle, by logarithms, between the lower
+and the upper one, if these tell nearly all of the variance; else not at all. Small groups are drawn to the merged sketch of their language. The documents
+are then joined to their group's thresholds.
 """
 
 from __future__ import annotations
@@ -17,14 +17,16 @@ from tessera.llm.common import SPACE, fresh, materialize, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: rate: (numerator, denominator, lower and upper quantile in per cent, spread). Symbols and long words are
-#: rare in clean texts, so quartiles, which a quarter of junk doesn't move; repetition is common in a few.
+#: rate: (numerator, denominator, lower and upper quantile in per cent, spread). Long words are rare in clean texts, so
+#: quartiles, which a quarter of junk doesn't move; repetition is common in a few. Without quantiles a rate is cut between two clusters.
 RULES = {
-    "symbols": ("n_symbols", "n_words", 25, 75, 6),
+    "symbols": ("n_symbols", "n_words"),
     "dup_lines": ("n_dup_lines", "n_lines", 50, 99, 2),
     "repeats": ("n_repeat_words", "n_words", 50, 99, 2),
     "word_length": ("word_chars", "n_words", 25, 75, 8),
 }
+#: Share of the variance, in per cent, that two clusters tell where there are two: a single hump has about 65, an even spread 75.
+TOLD = 80
 #: A language's quantiles count as those of so many documents beside a group's own.
 PRIOR = 100
 #: Bins of each power of two; whole numbers below twice as many have a bin of their own.
@@ -92,7 +94,7 @@ def rate(rule: str) -> Column:
 
 
 def _of_rule(values: int) -> Column:
-    return F.coalesce(*[F.when(F.col("rule") == k, F.lit(v[values])) for k, v in RULES.items()])
+    return F.coalesce(*[F.when(F.col("rule") == k, F.lit(v[values])) for k, v in RULES.items() if len(v) > 2])
 
 
 def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
@@ -103,8 +105,37 @@ def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
     return sums.groupBy(*group, "rule").agg(F.max("total").alias("n"), least(2).alias("low"), least(3).alias("high"))
 
 
+def parted(sketch: DataFrame, rule: str, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, cut): the highest accepted rate of a rule where each group's sketch falls into two clusters; null where it doesn't.
+
+    The language's merged sketch counts as `prior` documents beside the group's own. Of all places between two bins the one is
+    taken at which two clusters have the least variance within them, by logarithms (whole hundredths of log(1 + rate)).
+    """
+    own = sketch.filter(F.col("rule") == rule)
+    merged = own.groupBy("lang", "bin").agg(F.sum("n").alias("m"))
+    merged = merged.withColumn("all", F.sum("m").over(Window.partitionBy("lang")))
+    groups = own.select(F.col("lang").alias("_lang"), "source").distinct()
+    bins = merged.join(groups, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
+    mine = own.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("bin").alias("_bin"), "n")
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("bin") == F.col("_bin"))
+    weight = F.coalesce("n", F.lit(0)) * 1000 + F.floor(F.lit(1000 * prior) * F.col("m") / F.col("all")).cast("long")
+    rows = bins.join(mine, same, "left").select("lang", "source", bin_top(F.col("bin")).alias("top"), weight.alias("w")).filter("w > 0")
+    rows = rows.withColumn("x", F.floor(100 * F.log1p("top")).cast("long"))
+    group = Window.partitionBy("lang", "source")
+    upto = group.orderBy("top").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"w": F.col("w"), "s": F.col("w") * F.col("x"), "q": F.col("w") * F.col("x") * F.col("x")}
+    rows = rows.withColumns({f"{k}_all": F.sum(c).over(group) for k, c in sums.items()} | {f"{k}_low": F.sum(c).over(upto) for k, c in sums.items() if k != "q"} | {"next": F.lead("top").over(group.orderBy("top"))})
+    a, b = F.col("w_low").cast("double"), (F.col("w_all") - F.col("w_low")).cast("double")
+    apart = F.col("s_low") / a - (F.col("s_all") - F.col("s_low")) / b
+    rows = rows.withColumn("told", F.when(F.col("next").isNotNull(), a * b / F.col("w_all") * apart * apart))
+    best = rows.groupBy("lang", "source").agg(F.max(F.struct("told", (-F.col("top")).alias("top"), "next")).alias("at"), F.max("w_all").alias("w"), F.max("s_all").alias("s"), F.max("q_all").alias("q"))
+    variance = F.col("q") - F.col("s").cast("double") * F.col("s") / F.col("w")
+    middle = F.floor(F.sqrt((1 - F.col("at.top")) * (1 + F.col("at.next")))).cast("long") - 1
+    return best.select("lang", "source", F.when(F.col("at.told") * 100 >= TOLD * variance, middle).alias("cut"))
+
+
 def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
-    """One row per (lang, source) with the highest accepted rate of each rule.
+    """One row per (lang, source) with the highest accepted rate of each rule, null where a rule has none.
 
     The language's quantiles, from its merged sketch, weigh as `prior` documents. The distance of the
     quantiles counts as one at least, the width of the narrowest bin.
@@ -115,7 +146,11 @@ def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     drawn = lambda c: F.floor((F.col("n") * F.col(c) + prior * F.col(f"_{c}")) / (F.col("n") + prior)).cast("long")
     both = own.withColumn("low", drawn("low")).withColumn("high", drawn("high"))
     cut = F.col("high") + _of_rule(4) * F.greatest(F.col("high") - F.col("low"), F.lit(1))
-    return both.withColumn("cut", cut).groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(f"max_{k}") for k in RULES])
+    cuts = both.select("lang", "source", "rule", cut.alias("cut"))
+    for k, v in RULES.items():
+        if len(v) == 2:
+            cuts = cuts.filter(F.col("rule") != k).unionByName(parted(sketch, k, prior).select("lang", "source", F.lit(k).alias("rule"), "cut"))
+    return cuts.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(f"max_{k}") for k in RULES])
 
 
 def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
@@ -131,15 +166,20 @@ def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     joined = counted.join(cuts, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     passed = F.lit(True)
     for k in RULES:
-        passed = passed & (rate(k) <= F.col(f"max_{k}"))
+        passed = passed & F.coalesce(rate(k) <= F.col(f"max_{k}"), F.lit(True))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(passed, F.lit(False)))
 
 
 def filter_quality(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
-    """The rows of docs that judge() keeps, columns as they were; doc_id names a document."""
-    (key,) = fresh(docs, "_id")
-    kept = judge(docs, prior).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias(key))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    """The rows of docs that judge() keeps, columns as they were.
+
+    Rows are told apart by doc_id, language, source and the text's hash, so of different rows with one doc_id each has its own verdict.
+    """
+    key, mine = fresh(docs, "_key", "_mine")
+    name = F.struct("doc_id", F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    named = docs.withColumn(mine, name)
+    kept = judge(docs.select(name.alias("doc_id"), "lang", "source", "text"), prior).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    return named.join(materialize(kept), F.col(mine).eqNullSafe(F.col(key)), "left_semi").drop(mine)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -158,7 +198,7 @@ def _sql() -> str:
         return f"((({b}) % {2 * BINS} + 1) << (({b}) // {2 * BINS})::int) - 1"
 
     def of_rule(i: int) -> str:
-        return "CASE rule " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in RULES.items()) + " END"
+        return "CASE rule " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in RULES.items() if len(v) > 2) + " END"
 
     def quantiles(group: str, sketch: str) -> str:
         w = f"OVER (PARTITION BY {group}, rule"
@@ -168,8 +208,27 @@ def _sql() -> str:
 
     rules = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {bin_(rate(k))} AS bin FROM d WHERE NOT base_failed" for k in RULES)
     drawn = lambda c: f"((q.n * q.{c} + {PRIOR} * l.{c}) // (q.n + {PRIOR}))::bigint"
-    cuts = ", ".join(f"max(CASE WHEN rule = '{k}' THEN high + {v[4]} * greatest(high - low, 1) END) AS max_{k}" for k, v in RULES.items())
-    passed = " AND ".join(f"{rate(k)} <= max_{k}" for k in RULES)
+    cuts = ", ".join(f"max(CASE WHEN rule = '{k}' THEN high + {v[4]} * greatest(high - low, 1) END) AS max_{k}" for k, v in RULES.items() if len(v) > 2)
+    passed = " AND ".join(f"coalesce({rate(k)} <= max_{k}, TRUE)" for k in RULES)
+
+    def parted(k: str) -> str:
+        """The CTE of a rule that is cut between two clusters."""
+        group = "PARTITION BY lang, source"
+        weighed = f"""SELECT l.lang, g.source, {top("l.bin")} AS top, coalesce(b.n, 0) * 1000 + floor({1000 * PRIOR} * l.m / l.all_)::bigint AS w
+          FROM (SELECT lang, bin, sum(n) AS m, sum(sum(n)) OVER (PARTITION BY lang) AS all_ FROM b WHERE rule = '{k}' GROUP BY lang, bin) l
+          JOIN (SELECT DISTINCT lang, source FROM b WHERE rule = '{k}') g ON g.lang IS NOT DISTINCT FROM l.lang
+          LEFT JOIN b ON b.rule = '{k}' AND b.bin = l.bin AND b.lang IS NOT DISTINCT FROM l.lang AND b.source IS NOT DISTINCT FROM g.source"""
+        summed = f"""SELECT *, sum(w) OVER ({group}) AS wa, sum(w * x) OVER ({group}) AS sa, sum(w * x * x) OVER ({group}) AS qa,
+          sum(w) OVER ({group} ORDER BY top) AS wl, sum(w * x) OVER ({group} ORDER BY top) AS sl, lead(top) OVER ({group} ORDER BY top) AS nxt
+          FROM (SELECT *, floor(100 * ln(1 + top))::bigint AS x FROM ({weighed}) WHERE w > 0)"""
+        told = f"""SELECT *, CASE WHEN nxt IS NOT NULL THEN wl::double * (wa - wl)::double / wa * (sl / wl::double - (sa - sl) / (wa - wl)::double) * (sl / wl::double - (sa - sl) / (wa - wl)::double) END AS told FROM ({summed})"""
+        return f"""SELECT lang, source, CASE WHEN told * 100 >= {TOLD} * (qa - sa::double * sa / wa) THEN floor(sqrt((1 + top) * (1 + nxt)))::bigint - 1 END AS max_{k}
+          FROM ({told}) QUALIFY row_number() OVER ({group} ORDER BY told DESC NULLS LAST, top) = 1"""
+
+    cut_off = {k: parted(k) for k, v in RULES.items() if len(v) == 2}
+    splits = ",\n".join(f"p_{k} AS ({q})" for k, q in cut_off.items())
+    joins = " ".join(f"LEFT JOIN p_{k} ON p_{k}.lang IS NOT DISTINCT FROM d.lang AND p_{k}.source IS NOT DISTINCT FROM d.source" for k in cut_off)
+    more = ", ".join(f"p_{k}.max_{k}" for k in cut_off)
     return rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 a AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -187,7 +246,8 @@ q AS ({quantiles("lang, source", "b")}),
 l AS ({quantiles("lang", "(SELECT lang, rule, bin, sum(n) AS n FROM b GROUP BY ALL)")}),
 v AS (SELECT q.lang, q.source, q.rule, {drawn("low")} AS low, {drawn("high")} AS high FROM q JOIN l ON l.lang IS NOT DISTINCT FROM q.lang AND l.rule = q.rule),
 x AS (SELECT lang, source, {cuts} FROM v GROUP BY ALL),
-f AS (SELECT d.*, x.* EXCLUDE (lang, source) FROM d LEFT JOIN x ON x.lang IS NOT DISTINCT FROM d.lang AND x.source IS NOT DISTINCT FROM d.source)
+{splits},
+f AS (SELECT d.*, x.* EXCLUDE (lang, source), {more} FROM d LEFT JOIN x ON x.lang IS NOT DISTINCT FROM d.lang AND x.source IS NOT DISTINCT FROM d.source {joins})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({passed}, FALSE) AS kept FROM f"""
 
 

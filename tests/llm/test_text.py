@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -113,7 +115,7 @@ def test_thresholds_follow_the_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
     got = {r.doc_id: r for r in quality.judge(docs, prior=5).collect()}
     assert [got[i].kept for i in (900, 901, 902, 903)] == [False, True, False, True]
-    assert got[900].max_word_length < got[901].max_word_length and got[902].max_symbols < got[903].max_symbols
+    assert got[900].max_word_length < got[901].max_word_length and got[902].max_symbols < 40 and got[903].max_symbols is None
     assert all(r.kept for i, r in got.items() if i < 900)
 
 
@@ -124,7 +126,7 @@ def test_thresholds_are_those_of_plain_quantiles(spark):
     rows = counted.collect()
     assert len(got) == 3
     for (lang, source), r in got.items():
-        for rule, (top, below, low, high, spread) in quality.RULES.items():
+        for rule, (top, below, low, high, spread) in ((k, v) for k, v in quality.RULES.items() if len(v) > 2):
             def at(some: list, q: int, top=top, below=below) -> int:
                 v = sorted(x[top] * 100 // max(x[below], 1) for x in some)
                 v = v[max(0, -(-len(v) * q // 100) - 1)]
@@ -136,6 +138,52 @@ def test_thresholds_are_those_of_plain_quantiles(spark):
             assert r[f"max_{rule}"] == b + spread * max(b - a, 1)
 
 
+def clusters(groups: dict, prior: int) -> dict:
+    """The cut of each (lang, source) from its rates of symbols, by trying every place in plain Python."""
+    def top(v: int) -> int:
+        shift = max(v.bit_length() - 7, 0)
+        return ((v >> shift) + 1 << shift) - 1
+
+    out = {}
+    for (lang, source), own in groups.items():
+        whole = Counter(top(v) for (la, _), vs in groups.items() if la == lang for v in vs)
+        mine = Counter(map(top, own))
+        w = {v: mine[v] * 1000 + 1000 * prior * m // whole.total() for v, m in whole.items()}
+        vs = sorted(v for v in w if w[v])
+        x = {v: math.floor(100 * math.log1p(v)) for v in vs}
+        n, mean = sum(w.values()), sum(w[v] * x[v] for v in vs) / sum(w.values())
+        variance = sum(w[v] * (x[v] - mean) ** 2 for v in vs)
+        best = (-1, 0, 0)
+        for i in range(len(vs) - 1):
+            parts = vs[: i + 1], vs[i + 1 :]
+            within = 0
+            for part in parts:
+                m = sum(w[v] * x[v] for v in part) / sum(w[v] for v in part)
+                within += sum(w[v] * (x[v] - m) ** 2 for v in part)
+            if (variance - within) > best[0] + 1e-6 * n:
+                best = (variance - within, vs[i], vs[i + 1])
+        out[lang, source] = math.floor(math.sqrt((1 + best[1]) * (1 + best[2]))) - 1 if variance and best[0] >= 0.8 * variance else None
+    return out
+
+
+def test_symbols_are_cut_between_clusters(spark):
+    """Junk of any share under a half is told from what the group usually has; a group without junk has its language's cut, one with an even spread none."""
+    rng = np.random.default_rng(6)
+    groups = {("en", "few"): [0] * 90 + [int(v) for v in rng.integers(30, 300, 10)], ("en", "many"): [int(v) for v in rng.integers(2, 9, 60)] + [int(v) for v in rng.integers(100, 400, 40)], ("en", "none"): [0] * 20, ("fr", "even"): list(range(60)), ("de", "one"): [0, 0, 0], (None, None): [0] * 49 + [60]}
+    rows = [(i, *g, " ".join(f"w{k}" for k in range(100)) + "#" * v) for g, vs in groups.items() for i, v in enumerate(vs)]
+    counted = materialize(quality.counts(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")))
+    got = {(r.lang, r.source): r.max_symbols for r in quality.thresholds(quality.sketches(counted), 10).collect()}
+    assert got == clusters(groups, 10)
+    assert got["fr", "even"] is None is got["de", "one"] and 0 < got["en", "few"] < 30 and 8 <= got["en", "many"] < 100 and 0 < got["en", "none"] < 30 and got[None, None] < 60
+
+
+def test_rows_of_one_id_have_their_own_verdict(spark):
+    good, bad = " ".join(f"word{k}" for k in range(80)), "no words"
+    rows = [(1, "en", "a", good), (1, "en", "a", bad), (None, "en", "a", good), (None, None, None, bad), (2, "en", "a", good), (2, "en", "a", good)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    assert sorted(map(tuple, quality.filter_quality(docs).collect()), key=str) == sorted([r for r in rows if r[3] == good], key=str)
+
+
 def test_sketches_merge(spark, odd):
     counted = materialize(quality.counts(odd))
     parts = quality.sketches(counted.filter("doc_id < 4")).union(quality.sketches(counted.filter("not doc_id < 4 or doc_id is null")))
