@@ -144,7 +144,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, radius:
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, c)), pa.array(np.minimum(x, c))], ["a", "b"])
 
     links = gathered.mapInArrow(lambda batches: letting_go(run(batches)), "a bigint, b bigint")
-    found = components(links).withColumnsRenamed({"node": "sig"})
+    found = materialize(components(links).withColumnsRenamed({"node": "sig"}))
     return every.select("doc_id", "t", "sig").join(found, "sig", "left").select("doc_id", "t", F.coalesce("root", "sig").alias("class"))
 
 

@@ -111,7 +111,8 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET
     spark = fps.sparkSession
     masks = covering_masks(radius)
     tables = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("v", "key"))
-    size = tables.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written before it is joined, so both sides are plain exchanges and a hot bucket's side can be split.
+    size = materialize(tables.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = materialize(tables.join(size, ["v", "key"]))
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
