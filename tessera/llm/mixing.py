@@ -12,10 +12,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, materialize, numbered, ranked, table, unit
+from tessera.llm.common import CHUNK, fresh, materialize, numbered, ranked, table, unit
 
 WEIGHTS = (3, 1, 2)
 PERCENT = 150
@@ -88,9 +88,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, percent: float = PE
     Rows that repeat are separate documents; equal rows are interchangeable, so reruns agree. An empty
     table gives no rows; other columns of docs are ignored.
     """
+    return _mixed(docs, F.lit(0), weights, percent, copies, seed).drop("h", "v")
+
+
+def _mixed(docs: DataFrame, variant: Column, weights: Sequence[float] = WEIGHTS, percent: float = PERCENT, copies: int = COPIES, seed: int = SEED) -> DataFrame:
+    """mix() with h, the text's hash, and v, by which rows are told apart that are alike else."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("h"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("h"), variant.cast("long").alias("v"))
     rows = materialize(numbered(rows, "k").withColumn("u", unit(F.col("doc_id").cast("string"), F.col("h"), F.col("k"), seed=seed)))
     lengths = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     sources = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -117,20 +122,34 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, percent: float = PE
     planned = materialize(planned.withColumnsRenamed({"source": "_s", "size": "_z"}))
     # Both sides are written, so a hot source's side of the join can be split.
     joined = rows.join(planned, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
-    placed = ranked(materialize(joined), ["source", "size"], "n", "u", ["doc_id", "h", "k"], "r")
+    placed = ranked(materialize(joined), ["source", "size"], "n", "u", ["doc_id", "h", "v", "k"], "r")
     times = (F.col("base") + (F.col("r") < F.col("extra")).cast("int")).cast("int")
-    return placed.select("doc_id", "source", "size", "source_size", "target", times.alias("copies"), (times * F.col("size")).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", times.alias("copies"), (times * F.col("size")).cast("long").alias("taken"), "h", "v")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as mix() takes it, columns as they were; documents without words stay once.
 
-    doc_id names a document: rows that repeat one share the number of its copies in turn.
+    Rows that are alike in all columns are interchangeable: one of them stands for all, as often as the plan takes them
+    together, dealt in chunks. So as many words are taken as planned, whatever rows share an id.
     """
-    key, times = fresh(docs, "_id", "_copies")
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias(times)).withColumnRenamed("doc_id", key)
-    each = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(key))).drop(key).filter(F.col(times) > 0)
-    return each.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
+    mine, key, n, times, chunk = fresh(docs, "_mine", "_key", "_n", "_times", "_chunk")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "source", "text")]
+    variant = F.xxhash64(F.lit(0), *rest)
+    hashed = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    taken = F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).cast("long")
+    plan = _mixed(docs, variant, **options).groupBy(F.struct("doc_id", "source", "h", "v").alias(key)).agg(F.count(F.lit(1)).alias(n), taken.alias(times))
+    plan = materialize(plan.filter(F.col(times) > 0))
+    named = docs.withColumn(mine, F.struct("doc_id", F.col("source").cast("string").alias("source"), hashed.alias("h"), variant.alias("v")))
+    each = named.join(plan, F.col(mine).eqNullSafe(F.col(key))).drop(key)
+    # A null text and an empty one have one hash; both have no words and stay once.
+    single, alike = each.filter((F.col(n) == 1) | F.col("text").isNull() | (F.col("text") == "")), each.filter((F.col(n) > 1) & (F.col("text") != ""))
+    one = F.when(F.col(n) == 1, F.col(times)).otherwise(1)
+    single = single.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), one)))
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK).cast("long"))
+    alike = alike.dropDuplicates([mine]).withColumn(chunk, F.explode(chunks)).repartition(mine, chunk)
+    alike = alike.withColumn(times, F.explode(F.sequence(F.col(chunk) * CHUNK, F.least(F.col(chunk) * CHUNK + CHUNK, F.col(times)) - 1))).drop(chunk)
+    return single.unionByName(alike).select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 from collections import Counter, defaultdict
 
 import duckdb
@@ -116,6 +117,32 @@ def test_mix(spark, odd, empty):
     assert mixing.mix(empty).count() == 0 == mixing.apply_mix(empty).count()
 
 
+def test_copies_of_rows_of_one_id(spark):
+    """Rows that share an id, none of them or all columns are taken as often as planned together."""
+    rows = [(None, " ".join(["w"] * (i + 1)), "a", i) for i in range(12)] + [(7, "x y z", "b", i % 3) for i in range(9)] + [(8, "one more", "b", 0)] * 25_001 + [(9, None, "b", 0)] * 3 + [(9, "", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(4)
+    got = Counter(map(tuple, mixing.apply_mix(docs).collect()))
+    assert got[9, None, "b", 0] == 3 and got[9, "", "b", 0] == 1
+    for source in "ab":
+        planned = sum(r.taken for r in mixing.mix(docs).filter(F.col("source") == source).collect())
+        assert sum(n * len((t or "").split()) for (_, t, s, _), n in got.items() if s == source) == planned > 0
+    assert all(n <= 2 * m for r, m in Counter(rows).items() for n in [got[r]])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fit_against_all_sums(seed):
+    """The taken lengths come as near to the budget as any choice does, by all sums that there are."""
+    rng = np.random.default_rng(seed)
+    lengths = sorted(map(int, rng.choice(np.arange(1, 60), int(rng.integers(1, 6)), replace=False)))
+    counts = [int(c) for c in rng.integers(1, 4, len(lengths))]
+    budget = int(rng.integers(0, sum(a * c for a, c in zip(lengths, counts, strict=True)) + 1))
+    sums = {sum(n * a for n, a in zip(some, lengths, strict=True)) for some in itertools.product(*(range(c + 1) for c in counts))}
+    taken = mixing.fit(lengths, counts, budget)
+    assert all(0 <= n <= c for n, c in zip(taken, counts, strict=True))
+    best = max(x for x in sums if x <= budget)
+    assert sum(int(n) * a for n, a in zip(taken, lengths, strict=True)) == best
+
+
 def test_shard(spark, odd, empty):
     rows = [(i, f"text {i % 90}" if i % 3 else "hot") for i in range(3001)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
