@@ -41,7 +41,7 @@ def late_events(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (event_sessions, late_events)}
 
-_SESSIONS = f"""rows_ AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, coalesce(value, 0) AS value, CASE WHEN event_id * 2 >= count(*) OVER () THEN 1 WHEN event_id % {LATE} = 0 THEN 2 ELSE 0 END AS part FROM events),
+_SESSIONS = f"""rows_ AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, coalesce(value, 0) AS value, CASE WHEN event_id * 2 >= count(*) OVER () THEN 1 WHEN event_id % {LATE} = 0 THEN 2 ELSE 0 END AS part FROM events),
 steps AS (SELECT *, CASE WHEN ms > lag(ms) OVER (PARTITION BY user_id ORDER BY ms) + {GAP} THEN 1 ELSE 0 END AS new FROM rows_ WHERE part < 2 AND user_id IS NOT NULL),
 grouped AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms) AS k FROM steps),
 spans AS (SELECT user_id, min(ms) AS first, max(ms) AS last, count(*) AS "rows", round(sum(value), 2) AS total FROM grouped GROUP BY user_id, k)"""
