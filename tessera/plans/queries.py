@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import bands, layout, properties, shapes
-from tessera.operators import selection
+from tessera.operators import selection, statistics
 from tessera.operators.tokenizer import ERROR, Tokenizer
-from tessera.plans import job, sky_queries, specs, stream_queries
+from tessera.plans import bookkeeping, job, sky_queries, specs, stream_queries
 from tessera.plans.registry import Modality
 from tessera.plans.shared import folder, table
 from tessera.plans.specs import Spec
-from tessera.sources import sink
+from tessera.sources import joined, sink
 from tessera.sources.catalog import normalized, open_catalog
 from tessera.streaming import tokens
 
@@ -353,6 +353,39 @@ def provenance(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "column string, modality string, token_column string, drop_source boolean, in_card boolean").withColumn("token_dtype", F.lit(told["token_dtype"]))
 
 
+def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run counts on the way: rows, rows that can't be tokenized, nulls of each token column."""
+    report = job.tokenize_catalog(spark, source := _source(spark, sf, bad=True), f"{source}-tokens", ["image=LegacySurveyImage", "spectrum=DESISpectrum"], batch_size=16)
+    return spark.createDataFrame(sorted(report.metrics.items()), "name string, value long")
+
+
+def positional_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a catalog beside their tokens, file by file; both sides say whose row it is."""
+    source = _source(spark, sf)
+    job.tokenize_catalog(spark, source, f"{source}-tokens", "spectrum")
+    both = joined.beside(open_catalog(spark, source), open_catalog(spark, f"{source}-tokens"), ["vec_id", "spectrum"], ["tok_spectrum_desi"], check=["vec_id"])
+    return both.select("vec_id", F.get("spectrum.flux", F.lit(0)).alias("flux"), F.get("tok_spectrum_desi.token", F.lit(0)).alias("token"), F.size("tok_spectrum_desi.token").alias("tokens"))
+
+
+def token_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Use of codes by partition, from two parts of other rows that are merged."""
+    made = Tokenizer([Spec(MANY, "spectrum")]).transform(_spectra(spark, sf)).withColumns({"_order": F.lit(5), "_pixel": F.col("vec_id") % 4})
+    parts = [statistics.part(made.filter(F.col("vec_id") % 2 == i), ["tok_vector"], ("_order", "_pixel")) for i in (0, 1)]
+    told = statistics.summary(statistics.merge(*parts), 4096)
+    return told.select("pixel", "rows", "nulls", "tokens", "codes", F.round("entropy", 6).alias("entropy"), "top", "top_n", "used")
+
+
+def catalog_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts kept beside a catalog that grows: half of its partitions, then all; each is counted once."""
+    source, told = _source(spark, sf), []
+    for most in (2, None):
+        job.tokenize_catalog(spark, source, f"{source}-tokens", "spectrum", max_partitions=most, finalize=True)
+        catalog = open_catalog(spark, f"{source}-tokens")
+        told.append((len(catalog.partitions), bookkeeping.record(catalog, ["tok_spectrum_desi"])))
+    out = bookkeeping.token_statistics(catalog, ["tok_spectrum_desi"]).select("rows", "nulls", "tokens", "codes", F.round("entropy", 6).alias("entropy"), "top", "top_n")
+    return out.withColumn("counted", F.lit(",".join(f"{b} of {a}" for a, b in told)))
+
+
 def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """A catalog's files as a stream, stopped after some of them and taken up again from its checkpoint."""
     url = _source(spark, sf)
@@ -401,6 +434,8 @@ _CLEAN = "list_transform(embedding, lambda x: x::DOUBLE)"
 _BASE = "(round_even(abs(list_sum({0})) * 1000, 0) % 4000)::BIGINT"
 _VECTOR = _BASE.format(_CLEAN)
 _SCALAR = "(round_even(abs({0}::FLOAT::DOUBLE) * 1000, 0) % 4000)::BIGINT"
+_USES = """SELECT pixel, sum(k)::BIGINT AS tokens, count(*) AS codes, round(greatest(log2(sum(k)) - sum(k * log2(k)) / sum(k), 0), 6) AS entropy, arg_min(code, -k * 100000 + code) AS top, max(k) AS top_n
+  FROM (SELECT pixel, code, count(*) AS k FROM ({0}) GROUP BY 1, 2) GROUP BY 1"""
 _FIRST = f"CASE WHEN vec_id % 7 <> 0 AND vec_id % 5 <> 0 THEN {_VECTOR} END"
 _LINES = "SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, ' '))) AS s FROM documents"
 _PARTS = "SELECT vec_id % 4 AS pixel, count(*) AS n FROM embeddings GROUP BY 1"
@@ -414,7 +449,7 @@ QUERIES = {
         nan_to_num, nested_shape, ragged_flag, shape_groups, spectrum_mask, band_normalize, unknown_band_error, drop_source, token_int32, output_schema,
         partition_relpath, partition_parse, partition_select, partition_missing, shard_round_robin, resume_todo, overwrite_todo, take_rows_prefix, row_groups,
         finalize_summary, orders_present, failed_partitions, run_summary, join_back, properties_parse, detect_specs, end_to_end_catalog, finalize_files,
-        first_rows, limited_run, sharded_runs, failed_run, damaged_run, provenance, stream_tokens, normalize_source, spec_texts,
+        first_rows, limited_run, sharded_runs, failed_run, damaged_run, run_metrics, positional_join, token_statistics, catalog_statistics, provenance, stream_tokens, normalize_source, spec_texts,
     )
 }
 
@@ -461,6 +496,10 @@ ORACLE_SQL = {
     "sharded_runs": f"SELECT pixel, 'done' AS state, n AS \"rows\", (pixel % 3)::INT AS rank FROM ({_PARTS})",
     "failed_run": f"SELECT pixel, CASE pixel WHEN 2 THEN 'failed' ELSE 'done' END AS state, CASE pixel WHEN 2 THEN 0 ELSE n END AS \"rows\" FROM ({_PARTS})",
     "damaged_run": f"SELECT pixel, CASE pixel WHEN 2 THEN 'failed' ELSE 'done' END AS state, CASE pixel WHEN 2 THEN 0 ELSE n END AS \"rows\" FROM ({_PARTS})",
+    "run_metrics": "SELECT unnest(['rows', 'errors', 'nulls of tok_image', 'nulls of tok_spectrum_desi']) AS name, unnest([count(*), count(*) FILTER (vec_id % 4 = 2), count(*) FILTER (vec_id % 4 = 2), 0]) AS value FROM embeddings",
+    "positional_join": f"SELECT vec_id, embedding[1] AS flux, {_VECTOR} % 4096 AS token, 273 AS tokens FROM embeddings",
+    "token_statistics": f"SELECT pixel, n AS \"rows\", 0::BIGINT AS nulls, tokens, codes, entropy, top, top_n, codes / 4096 AS used FROM ({_USES.format(f'SELECT vec_id % 4 AS pixel, ({_VECTOR} + i) % 4096 AS code FROM embeddings, generate_series(0, 15) g(i)')}) JOIN ({_PARTS}) USING (pixel)",
+    "catalog_statistics": f"SELECT (SELECT count(*) FROM embeddings) AS \"rows\", 0::BIGINT AS nulls, tokens, codes, entropy, top, top_n, '2 of 2,2 of 4' AS counted FROM ({_USES.format(f'SELECT 0 AS pixel, ({_VECTOR} + i) % 4096 AS code FROM embeddings, generate_series(0, 272) g(i)')})",
     "provenance": "SELECT *, 'int64' AS token_dtype FROM (VALUES ('spectrum', 'DESISpectrum', 'tok_spectrum_desi', TRUE, TRUE), ('ebv', 'LegacySurveyEBV', 'tok_ebv', FALSE, TRUE)) t(\"column\", modality, token_column, drop_source, in_card)",
     "stream_tokens": "SELECT vec_id, 50::BIGINT AS tok_ebv FROM embeddings",
     "normalize_source": "SELECT source, lang, form, CASE form WHEN 0 THEN 'hf://datasets/' || source || '/' || lang WHEN 1 THEN source || '/' || lang || '/x' WHEN 2 THEN 's3://' || source || '/' || lang WHEN 3 THEN source ELSE source || '/' || lang || ' x' END AS url FROM (SELECT DISTINCT source, lang FROM documents), (SELECT unnest(range(5))::INT AS form)",
