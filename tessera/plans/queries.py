@@ -9,14 +9,14 @@ from __future__ import annotations
 import functools
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import bands, layout, properties, shapes
 from tessera.operators import selection, statistics
 from tessera.operators.tokenizer import ERROR, Tokenizer
-from tessera.plans import bookkeeping, job, sky_queries, specs, stream_queries
+from tessera.plans import bookkeeping, history, job, sky_queries, specs, stream_queries
 from tessera.plans.registry import Modality
 from tessera.plans.shared import folder, table
 from tessera.plans.specs import Spec
@@ -386,6 +386,29 @@ def catalog_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("counted", F.lit(",".join(f"{b} of {a}" for a, b in told)))
 
 
+def _mixed_runs(spark: SparkSession, sf: str) -> str:
+    """A catalog of tokens of three runs: two partitions, then the second anew with other settings, then the rest with one more column."""
+    source = _source(spark, sf)
+    parts = open_catalog(spark, source).partitions
+    out = f"{source}-tokens"
+    job.tokenize_catalog(spark, source, out, "ebv", partitions=parts[:2], finalize=False)
+    job.tokenize_catalog(spark, source, out, "ebv", partitions=parts[1:2], overwrite=True, token_dtype="int32", finalize=False)
+    job.tokenize_catalog(spark, source, out, ["ebv", "spectrum"], partitions=parts[2:], overwrite=True, finalize=False)
+    return out
+
+
+def partition_makers(spark: SparkSession, sf: str) -> DataFrame:
+    """Which run made each partition's token columns, from what the runs wrote of themselves."""
+    made = history.makers(spark, _mixed_runs(spark, sf))
+    place = F.dense_rank().over(Window.orderBy("run"))
+    return made.select("order", "pixel", place.alias("run"), "codec", "token_dtype", F.col("column").alias("source_column"), "modality", "token_column")
+
+
+def maker_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the partitions of that catalog don't agree."""
+    return history.conflicts(spark, _mixed_runs(spark, sf)).select("token_column", "what", "value", "partitions", "example.pixel")
+
+
 def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """A catalog's files as a stream, stopped after some of them and taken up again from its checkpoint."""
     url = _source(spark, sf)
@@ -449,7 +472,7 @@ QUERIES = {
         nan_to_num, nested_shape, ragged_flag, shape_groups, spectrum_mask, band_normalize, unknown_band_error, drop_source, token_int32, output_schema,
         partition_relpath, partition_parse, partition_select, partition_missing, shard_round_robin, resume_todo, overwrite_todo, take_rows_prefix, row_groups,
         finalize_summary, orders_present, failed_partitions, run_summary, join_back, properties_parse, detect_specs, end_to_end_catalog, finalize_files,
-        first_rows, limited_run, sharded_runs, failed_run, damaged_run, run_metrics, positional_join, token_statistics, catalog_statistics, provenance, stream_tokens, normalize_source, spec_texts,
+        first_rows, limited_run, sharded_runs, failed_run, damaged_run, run_metrics, positional_join, token_statistics, catalog_statistics, partition_makers, maker_conflicts, provenance, stream_tokens, normalize_source, spec_texts,
     )
 }
 
@@ -500,6 +523,8 @@ ORACLE_SQL = {
     "positional_join": f"SELECT vec_id, embedding[1] AS flux, {_VECTOR} % 4096 AS token, 273 AS tokens FROM embeddings",
     "token_statistics": f"SELECT pixel, n AS \"rows\", 0::BIGINT AS nulls, tokens, codes, entropy, top, top_n, codes / 4096 AS used FROM ({_USES.format(f'SELECT vec_id % 4 AS pixel, ({_VECTOR} + i) % 4096 AS code FROM embeddings, generate_series(0, 15) g(i)')}) JOIN ({_PARTS}) USING (pixel)",
     "catalog_statistics": f"SELECT (SELECT count(*) FROM embeddings) AS \"rows\", 0::BIGINT AS nulls, tokens, codes, entropy, top, top_n, '2 of 2,2 of 4' AS counted FROM ({_USES.format(f'SELECT 0 AS pixel, ({_VECTOR} + i) % 4096 AS code FROM embeddings, generate_series(0, 272) g(i)')})",
+    "partition_makers": f"SELECT 5 AS \"order\", pixel, least(pixel + 1, 3)::INT AS run, 'HashQuantizer' AS codec, CASE pixel WHEN 1 THEN 'int32' ELSE 'int64' END AS token_dtype, c.* FROM ({_PARTS}), (VALUES ('ebv', 'LegacySurveyEBV', 'tok_ebv'), ('spectrum', 'DESISpectrum', 'tok_spectrum_desi')) c(source_column, modality, token_column) WHERE source_column = 'ebv' OR pixel >= 2",
+    "maker_conflicts": f"SELECT * FROM (SELECT 'tok_ebv' AS token_column, 'token_dtype' AS what, CASE pixel WHEN 1 THEN 'int32' ELSE 'int64' END AS value, count(*) AS partitions, min(pixel) AS pixel FROM ({_PARTS}) GROUP BY 3) UNION ALL SELECT 'tok_spectrum_desi', 'present', 'yes', count(*), min(pixel) FROM ({_PARTS}) WHERE pixel >= 2",
     "provenance": "SELECT *, 'int64' AS token_dtype FROM (VALUES ('spectrum', 'DESISpectrum', 'tok_spectrum_desi', TRUE, TRUE), ('ebv', 'LegacySurveyEBV', 'tok_ebv', FALSE, TRUE)) t(\"column\", modality, token_column, drop_source, in_card)",
     "stream_tokens": "SELECT vec_id, 50::BIGINT AS tok_ebv FROM embeddings",
     "normalize_source": "SELECT source, lang, form, CASE form WHEN 0 THEN 'hf://datasets/' || source || '/' || lang WHEN 1 THEN source || '/' || lang || '/x' WHEN 2 THEN 's3://' || source || '/' || lang WHEN 3 THEN source ELSE source || '/' || lang || ' x' END AS url FROM (SELECT DISTINCT source, lang FROM documents), (SELECT unnest(range(5))::INT AS form)",

@@ -213,3 +213,22 @@ def test_lost_provenance(spark, source, tmp_path):
         tokenize_catalog(spark, source, tmp_path / "out", "flux_g")
     assert tokenize_catalog(spark, source, tmp_path / "out", "ebv", row_group_size=7).labels("skipped")
     assert json.loads((tmp_path / "out/tessera.json").read_text())["asked"] == {"row_group_size": 7}
+
+
+def test_history(spark, source, tmp_path):
+    """What runs tell as rows: the last maker of each partition, and where makers differ; a broken file tells nothing."""
+    from tessera.plans import history
+
+    out = str(tmp_path / "out")
+    assert history.runs(spark, out).count() == 0 == history.makers(spark, out).count() == history.conflicts(spark, out).count()
+    go = lambda what, **how: tokenize_catalog(spark, source, out, what, finalize=False, overwrite=True, **how)
+    go(["ebv"], max_partitions=2)
+    assert history.conflicts(spark, out).count() == 0
+    go(["ebv", "flux_g"], partitions=[Partition(5, 1239)], token_dtype="int32")
+    (tmp_path / "out/runs/0-broken.json").write_text("{no json")
+    told = history.runs(spark, out).orderBy("run").collect()
+    assert [r.codec for r in told] == [None, "HashQuantizer", "HashQuantizer"] and [r.token_dtype for r in told] == [None, "int64", "int32"]
+    made = {(r.order, r.token_column): (r.token_dtype, r.run == told[2].run) for r in history.makers(spark, out).collect()}
+    assert made == {(4, "tok_ebv"): ("int64", False), (5, "tok_ebv"): ("int32", True), (5, "tok_flux_g"): ("int32", True)}
+    found = {(r.token_column, r.what, r.value, r.partitions) for r in history.conflicts(spark, out).collect()}
+    assert found == {("tok_ebv", "token_dtype", "int64", 1), ("tok_ebv", "token_dtype", "int32", 1), ("tok_flux_g", "present", "yes", 1)}
