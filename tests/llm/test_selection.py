@@ -244,3 +244,16 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark):
         with pytest.raises(ValueError, match="checkpoint"):
             common.scratch(Session())
     assert common.scratch(spark) == common.scratch(spark)
+
+
+def test_odd_urls_and_a_list_of_the_captures_themselves(spark):
+    """Without a scheme a URL has no host; percent-encoded paths are compared as they are written; the rule lists keys of the captures alone, and the same ones again."""
+    day = datetime.date(2024, 5, 1)
+    urls_ = ["no-scheme.example.com/a", "//no-scheme.example.com/a", "http://x.example.com/a%20b/c", "http://x.example.com/a b/c", "HTTP://X.example.com./A%20B", None, ""]
+    df = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls_)], "capture_id long, url string, fetched date")
+    entries = spark.createDataFrame([("no-scheme.example.com", day, "add", "host"), ("x.example.com/a%20b", day, "add", "coded")], "key string, day date, action string, reason string")
+    assert {r.capture_id: r.reasons for r in urls.judge(df, entries).collect()} == {0: "", 1: "", 2: "coded", 3: "", 4: "coded", 5: "", 6: ""}
+    many = spark.createDataFrame([(f"http://h{i % 40}.example.com/a{i % 7}/b{i % 3}/c/d",) for i in range(300)], "url string")
+    found = sorted(map(tuple, urls.entries_of(many).collect()), key=str)
+    assert found == sorted(map(tuple, urls.entries_of(many.repartition(3).union(many)).collect()), key=str) and len({r[0] for r in found}) > 50
+    assert all(r[0].endswith(("example.com", "com")) or r[0].split("/")[0].endswith("example.com") for r in found) and max(r[0].count("/") for r in found) == 3
