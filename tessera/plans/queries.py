@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tessera.functions import bands, layout, properties, shapes
 from tessera.operators import selection, statistics
 from tessera.operators.tokenizer import ERROR, Tokenizer
-from tessera.plans import bookkeeping, history, job, sky_queries, specs, stream_queries
+from tessera.plans import bookkeeping, history, job, sky_queries, specs, sql_queries, stream_queries
 from tessera.plans.registry import Modality
 from tessera.plans.shared import folder, table
 from tessera.plans.specs import Spec
@@ -531,5 +531,5 @@ ORACLE_SQL = {
     "spec_texts": "SELECT source, form, CASE form WHEN 0 THEN 'LegacySurveyEBV' WHEN 1 THEN 'Z' WHEN 4 THEN 'DESISpectrum' END AS modality, CASE form WHEN 0 THEN 'tok_ebv' WHEN 1 THEN 'tok_z' WHEN 2 THEN 'ValueError' WHEN 3 THEN 'KeyError' ELSE 'tok_spectrum_desi' END AS output FROM (SELECT DISTINCT source FROM documents), (SELECT unnest(range(5))::INT AS form)",
 }
 
-QUERIES |= sky_queries.QUERIES | stream_queries.QUERIES
-ORACLE_SQL |= sky_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
+QUERIES |= sky_queries.QUERIES | sql_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL |= sky_queries.ORACLE_SQL | sql_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
