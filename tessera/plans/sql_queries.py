@@ -33,7 +33,7 @@ def sql_partitions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("""
         WITH p AS (SELECT DISTINCT CAST(o_orderkey % 3 + 4 AS INT) AS norder, o_custkey AS npix FROM orders)
         SELECT norder, npix, partition_file(norder, npix) AS file, partition_label(norder, npix) AS label, partition_of(partition_label(norder, npix)).pixel AS back,
-          pixel_parent(npix, norder, norder - 2) AS parent, pixel_first(npix, norder) AS first FROM p""")
+          pixel_parent(npix, norder, norder - 2) AS parent, pixel_first(npix % 3072, norder) AS first FROM p""")
 
 
 def sql_bands(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +87,7 @@ QUERIES = {f.__name__: f for f in (sql_partitions, sql_bands, sql_spectra, explo
 
 ORACLE_SQL = {
     "sql_partitions": """SELECT DISTINCT (o_orderkey % 3 + 4)::INT AS norder, o_custkey AS npix, 'Norder=' || (o_orderkey % 3 + 4) || '/Dir=' || (o_custkey // 10000 * 10000) || '/Npix=' || o_custkey || '.parquet' AS file,
-        'Norder=' || (o_orderkey % 3 + 4) || '/Npix=' || o_custkey AS label, o_custkey AS back, o_custkey // 16 AS parent, (o_custkey * 4 ** (29 - (o_orderkey % 3 + 4)))::BIGINT AS first FROM orders""",
+        'Norder=' || (o_orderkey % 3 + 4) || '/Npix=' || o_custkey AS label, o_custkey AS back, o_custkey // 16 AS parent, (o_custkey % 3072 * 4 ** (29 - (o_orderkey % 3 + 4)))::BIGINT AS first FROM orders""",
     "sql_bands": "SELECT CASE WHEN contains(b, '-') THEN b ELSE 'HSC-' || b END AS band, count(*) AS n FROM (SELECT replace(upper(event_type), '_', '-') AS b FROM events) GROUP BY 1",
     "sql_spectra": f"SELECT vec_id, len(list_filter(embedding, lambda x: {_IGNORED})) AS n_ignored, coalesce(list_sum(list_transform(embedding, lambda x: CASE WHEN {_IGNORED} THEN 0::DOUBLE ELSE x::DOUBLE END)), 0) AS flux FROM embeddings",
     "explode_table": f"SELECT vec_id, label, 'tok_few' AS \"column\", position, code FROM ({_CODES}) UNION ALL SELECT vec_id, label, 'tok_id', 0, (round_even(abs(vec_id::FLOAT::DOUBLE) * 1000, 0) % 4000)::BIGINT FROM embeddings",
