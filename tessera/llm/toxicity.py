@@ -7,7 +7,8 @@ so no rare word is learned by heart. Two gated recurrent layers read each window
 backwards; attention pools their states and a logistic unit scores the window. A text's score is that
 of its highest window, over overlapping windows of the whole text; equal windows are worked out once.
 Training alternates between finding each labelled text's highest window and fitting the network to
-these windows.
+these windows; the network is the mean of those of the last steps. Sums over many rows run in one fixed
+order, so the number of threads that multiply matrices changes no result.
 """
 
 from __future__ import annotations
@@ -39,11 +40,13 @@ DECAY, DECAY_REST = 3.0, 0.05
 #: Weight of the summed n-grams beside the word.
 GRAM_WEIGHT = 0.3
 ROUNDS, STEPS, BATCH = 6, 30, 128
+#: The share of the steps, the last ones, whose parameters are averaged.
+AVERAGED = 0.5
 SEED = 3
 #: A task forgets its known words beyond this many; only speed depends on it.
 KNOWN_WORDS = 300_000
-#: Windows scored together: memory only.
-TOGETHER = 2048
+#: Windows scored together: few enough that their products are of a size that no library splits over threads.
+TOGETHER = 1024
 _WORD = re.compile(r"\w+")
 _F = np.float32
 _WEIGHTS = np.random.default_rng(9).integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,6 +101,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return _F(0.5) * np.tanh(_F(0.5) * x) + _F(0.5)
 
 
+def _times(rows: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """The product of any number of rows with a small matrix, summed in one order whatever the threads."""
+    return np.einsum("ri,ij->rj", rows, small)
+
+
 class Network:
     """Parameters by name; words become rows of gate inputs, so a window costs recurrences only.
 
@@ -139,7 +147,7 @@ class Network:
         for d in "fb":
             pad = np.zeros((1, 3 * HIDDEN), _F)
             pad[0, :HIDDEN] = 40
-            out.append(np.concatenate([x @ self.p[f"x{d}"] + self.p[f"b{d}"], pad]).astype(_F))
+            out.append(np.concatenate([_times(x, self.p[f"x{d}"]) + self.p[f"b{d}"], pad]).astype(_F))
         return tuple(out)
 
     def states(self, gates: tuple[np.ndarray, np.ndarray], ids: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -210,8 +218,8 @@ class Network:
                 back = dh * z + drec @ p[f"h{d}"].T
                 np.add.at(dgate, ids[:, t], np.concatenate([dz, dr, dnew], axis=1))
             g[f"h{d}"], dgate = du, dgate[:-1]
-            g[f"x{d}"], g[f"b{d}"] = x.T @ dgate, dgate.sum(axis=0)
-            dx += dgate @ p[f"x{d}"].T
+            g[f"x{d}"], g[f"b{d}"] = np.einsum("ri,rj->ij", x, dgate), dgate.sum(axis=0)
+            dx += _times(dgate, p[f"x{d}"].T)
         word, gram, of = features
         for name, rows, grad in (("word", word, dx), ("gram", gram, _F(GRAM_WEIGHT) * dx[of])):
             g[name] = np.zeros_like(p[name])
@@ -256,7 +264,8 @@ class Network:
         windows = ids[one]
         pos, neg = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
         told = np.append(np.abs(self.inputs(features)[:, 0]) > 0.3, False)
-        mean, square, step = {}, {}, 0
+        mean, square, last, step = {}, {}, {}, 0
+        begin = int((1 - AVERAGED) * ROUNDS * STEPS)
         for turn in range(ROUNDS):
             # Each text's highest window; to begin with the one with most words that tell the labels apart.
             scores = self.logits(self.gates(self.inputs(features)), windows)[back] if turn else told[ids].sum(axis=1)
@@ -276,6 +285,10 @@ class Network:
                     self.p[k] *= _F(1 - rate * (DECAY if k in self.row else DECAY_REST))
                     self.p[k] -= _F(rate) * (mean[k] / _F(1 - 0.9**step)) / (np.sqrt(square[k] / _F(1 - 0.99**step)) + _F(1e-6))
                 self.p["word"][0] = self.p["gram"][0] = 0
+                if step > begin:
+                    for k, v in self.p.items():
+                        last[k] = last.get(k, _F(0)) + (v - last.get(k, _F(0))) / _F(step - begin)
+        self.p.update(last)
         scores = self.logits(self.gates(self.inputs(features)), windows)[back]
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, owner, scores)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -124,6 +128,25 @@ def test_toxicity_learns_from_no_held_out_label(spark):
     assert all(np.array_equal(a, b) for a, b in zip(toxicity.train(docs, labels).p.values(), toxicity.train(docs, other).p.values(), strict=True))
 
 
+def test_toxicity_is_the_same_for_any_number_of_threads():
+    """A fit to enough words that a library would multiply them in several threads."""
+    code = """
+import hashlib, numpy as np
+from tessera.llm import toxicity
+rng = np.random.default_rng(1)
+texts = [rng.integers(0, 9000, 150) for _ in range(120)]
+labels = np.arange(120) % 2
+for i in np.flatnonzero(labels):
+    texts[i][7] = 5
+network = toxicity.Network().fit(texts, [f"w{i}" for i in range(9000)], labels)
+scores = toxicity.Scorer(network).score([" ".join(f"w{j}" for j in t) for t in texts] * 8)
+print(hashlib.sha256(b"".join(network.p[k].tobytes() for k in sorted(network.p)) + scores.tobytes()).hexdigest(), (scores[:120] >= 0.5).sum())
+"""
+    env = lambda n: {**os.environ, **dict.fromkeys(("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"), n)}
+    said = [subprocess.run([sys.executable, "-c", code], env=env(n), cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout.split()[-2:] for n in ("1", "4")]
+    assert said[0] == said[1] and said[0][1] == "60"
+
+
 def test_toxicity_of_odd_documents(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0), (5, 0), (6, None), (None, 1), (7, 0), (8, 0), (99, 1)], "doc_id long, toxic int")
     got = toxicity.score(odd, toxicity.train(odd, labels)).collect()
