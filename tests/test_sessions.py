@@ -57,3 +57,13 @@ def test_restarts_late_rows_and_expiry(spark, tmp_path):
         assert len(got) == len(set(got)) and set(got) == plain(seen, newest - DELAY), i
     assert [t["late"] for t in told] == [0, 0, 2, 0]
     assert told[0]["open"] > 0 and told[3]["open"] == 1  # of the last part's own key
+
+
+def test_states_are_fewer_than_keys(spark, tmp_path):
+    """Python is handed a bounded number of states, not one for each key; open keys are still counted as keys."""
+    rows = [(f"u{i}", at, 1.0) for i in range(400) for at in ((10, 5_000) if i % 2 else (10,))]
+    spark.createDataFrame([*rows, ("end", 9_000, 0.0)], SCHEMA).write.parquet(str(tmp_path / "in"))
+    q = s.run_sessions(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "at"), **HOW, buckets=16)
+    q.awaitTermination()
+    assert max(int(o["numRowsUpdated"]) for p in q.recentProgress for o in p["stateOperators"]) <= 16
+    assert s.counted(q)["open"] == 201 and spark.read.parquet(str(tmp_path / "out")).agg({"rows": "sum"}).first()[0] == 400
