@@ -43,8 +43,8 @@ ROUNDS, STEPS, BATCH = 6, 30, 128
 #: The share of the steps, the last ones, whose parameters are averaged.
 AVERAGED = 0.5
 SEED = 3
-#: A task forgets its known words beyond this many; only speed depends on it.
-KNOWN_WORDS = 300_000
+#: A task forgets its known words before they are more than this, but for those of one batch; only speed and memory depend on it.
+KNOWN_WORDS = 100_000
 #: Windows scored together: few enough that their products are of a size that no library splits over threads.
 TOGETHER = 1024
 _WORD = re.compile(r"\w+")
@@ -337,9 +337,11 @@ class Scorer:
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Rows of the texts' words, new words learned."""
-        if len(self.known) > KNOWN_WORDS:
+        every = set().union(*texts)
+        new = sorted(every.difference(self.known))
+        if self.known and len(self.known) + len(new) > KNOWN_WORDS:
             self.forget()
-        new = sorted(set().union(*texts).difference(self.known))
+            new = sorted(every)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             features = self.network.features(part)

@@ -229,6 +229,22 @@ def test_scores_are_those_of_a_plain_forward_pass():
         assert scorer.score(texts) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
 
 
+def test_known_words_are_bounded(monkeypatch):
+    """No more words are kept than the bound or one batch has, and scores don't depend on it."""
+    net = toxicity.Network()
+    rng = np.random.default_rng(2)
+    net.p["word"], net.row["word"] = rng.standard_normal((50, toxicity.EMBED)).astype("f4"), rng.integers(0, 50, len(net.row["word"]))
+    net.p["word"][0] = 0
+    parts = [[" ".join(f"w{i * 30 + j}" for j in range(40))] for i in range(12)]
+    want = [toxicity.Scorer(net).score(p)[0] for p in parts]
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 100)
+    scorer, most, got = toxicity.Scorer(net), 0, []
+    for p in parts:
+        got.append(scorer.score(p)[0])
+        most = max(most, len(scorer.known))
+    assert got == want and most <= 100
+
+
 def test_sample_is_bounded_by_bytes(spark):
     rows = toy(300, 3)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
